@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.llm.mainbody import main_content
+from corvine.llm.markup import strip_markup, strip_pages
 from corvine.llm.neighbours import similar_pairs
 from corvine.llm.repetition import repeated_lines, without_repeated_lines
 from corvine.llm.splitting import split_sections
@@ -17,6 +19,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_content(table(spark, sf_dir, "page_content"))
+    field = lambda name, places: F.explode(F.transform(places, lambda p: F.struct(F.lit(name).alias("field_name"), p.alias("pos"))))
+    body = pages.select("page_id", field("content_html", "body_nodes").alias("x"))
+    trail = pages.select("page_id", field("breadcrumbs", "trail_places").alias("x"))
+    return body.unionByName(trail).select("page_id", "x.*")
+
+
+def p2_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_content(table(spark, sf_dir, "page_content")).select("page_id", "body_text", F.array_join("trail", " > ").alias("trail"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_sections(table(spark, sf_dir, "chunks").filter(F.length("content") > 2000))
     return pieces.select("id", F.explode("block_starts").alias("start_pos"))
@@ -34,16 +48,33 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_markup(table(spark, sf_dir, "chunks"), clean=False).select("id", F.explode("kinds").alias("kind"))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_markup(table(spark, sf_dir, "chunks")).select("id", "clean")
+
+
+def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_pages(table(spark, sf_dir, "page_content"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_body": p2_body,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_clean": p4_clean,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
+    "p6_pages": p6_pages,
     "p8_ids": p8_ids,
 }
 
