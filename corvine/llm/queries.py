@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from corvine.llm.mainbody import main_content
 from corvine.llm.markup import strip_markup, strip_pages
+from corvine.llm.mixing import mixture
 from corvine.llm.neighbours import similar_pairs
+from corvine.llm.pii import find_pieces, redact
 from corvine.llm.repetition import repeated_lines, without_repeated_lines
 from corvine.llm.splitting import split_sections
-from corvine.llm.tokens import encode_corpus
-from corvine.session import table
+from corvine.llm.tokens import count_tokens, encode_corpus
+from corvine.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,27 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "manual"])
+    return mixture(materialize(counted, "tokens"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pieces(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -76,6 +99,10 @@ QUERIES = {
     "p6_clean": p6_clean,
     "p6_pages": p6_pages,
     "p8_ids": p8_ids,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 ORACLE: dict[str, str] = {}
