@@ -15,19 +15,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvine.session import materialize
+from corvine.session import bounded_broadcast, materialize
+
+SMALL = 2_000_000
+"""Most ids that are broadcast, 16 MB of them."""
 
 
 @dataclass(frozen=True)
 class ForestOptions:
-    trees: int = 4
-    leaf: int = 1200
+    trees: int = 3
+    leaf: int = 2000
     """Vectors aimed at in a leaf."""
-    extra_leaves: int = 5
+    extra_leaves: int = 3
     """Leaves a query visits through the shared queue besides its own one in each tree."""
     sample: int = 40_000
     """Most vectors the hyperplanes are fitted on."""
@@ -110,50 +114,73 @@ class Forest:
         return np.concatenate(rows), np.concatenate(cell), mine
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten() if isinstance(column, pa.ListArray) else pa.concat_arrays([c.flatten() for c in column.chunks])
-    return np.asarray(flat, np.float32).reshape(-1, dim)
+CODE_ERROR = 0.012
+"""More than similarities of coded vectors are off by."""
+
 
+def _clean(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of the usable rows of a batch of id and vector."""
+    ids, lists = batch.column(0), batch.column(1)
+    ok = np.asarray(ids.is_valid()) & (np.asarray(lists.value_lengths().fill_null(-1)) == dim)
+    keep = pa.array(ok)
+    x = np.asarray(lists.filter(keep).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        unit = (x[good] / norm[good, None]).astype(np.float32)
+    return np.asarray(ids.filter(keep).cast(pa.int64()))[good], unit
 
-def usable_vectors(df: DataFrame, id_col: str, vector: str, dim: int) -> DataFrame:
-    """id, vec of the rows with dim finite numbers that are not all zero, scaled to length 1."""
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    ok = (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300))
-    rows = df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"), F.when(ok, norm).alias("n"))
-    return rows.filter("n > 0").select("id", F.transform("v", lambda x: (x / F.col("n")).cast("float")).alias("vec"))
 
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(flat.shape[1]), len(rows), [None, pa.py_buffer(flat.tobytes())])
+    return fixed.cast(pa.binary())
 
-def _in_cells(vectors: DataFrame, forest: Forest, dim: int) -> DataFrame:
-    handle = vectors.sparkSession.sparkContext.broadcast(forest)  # bounded by the sample's size
+
+def _each_batch(df: DataFrame, dim: int, make, schema: str) -> DataFrame:
+    """make(ids, unit vectors) -> columns, over the usable rows of df's id and vector columns."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), dim)
-            rows, cell, own = handle.value.cells(x)
-            half = pa.FixedSizeBinaryArray.from_buffers(
-                pa.binary(2 * dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(x.astype(np.float16)).tobytes())]
-            ).cast(pa.binary())
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(cell), pa.array(own), half.take(take)], names=["id", "cell", "own", "half"]
-            )
+            ids, unit = _clean(batch, dim)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays(make(ids, unit), names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _hashes(ids: np.ndarray, unit: np.ndarray) -> list[pa.Array]:
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v.tobytes()) for v in unit), np.int64).reshape(-1, 2)
+    return [pa.array(ids), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
+
 
-    return vectors.mapInArrow(run, "id bigint, cell bigint, own boolean, half binary")
+def _coded(unit: np.ndarray) -> np.ndarray:
+    """One signed byte per element and the scale as float32."""
+    top = np.abs(unit).max(axis=1, keepdims=True)
+    code = np.rint(unit / top * 127).astype(np.int8).view(np.uint8)
+    return np.concatenate([code, (top / 127).astype(np.float32).view(np.uint8)], axis=1)
+
+
+def _decoded(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, dim + 4)
+    return flat[:, :dim].copy().view(np.int8).astype(np.float32) * flat[:, dim:].copy().view(np.float32)
 
 
 def _candidates(cells: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    """a, b: for each query in each cell up to k index rows, of those with similarity near least or above."""
+    """a, b: for each query in each cell up to k index rows, of those with similarity near least or above.
+
+    The coded similarities choose more than k, so that coding can't cost a neighbour.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
         own = np.flatnonzero(group.column("own").to_numpy())
-        half = np.frombuffer(b"".join(group.column("half").to_pylist()), np.float16).astype(np.float32).reshape(-1, dim)
-        xs, mine, out = ids[own], half[own], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        x = _decoded(group.column("code"), dim)
+        xs, mine, out = ids[own], x[own], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for at in range(0, len(ids) if len(xs) else 0, 1024):
-            s = half[at : at + 1024] @ mine.T
+            s = x[at : at + 1024] @ mine.T
             q = ids[at : at + 1024]
             r, c = np.nonzero(s >= least)
             keep = q[r] != xs[c]
@@ -161,9 +188,13 @@ def _candidates(cells: DataFrame, dim: int, k: int, least: float) -> DataFrame:
             if (np.bincount(r, minlength=1) > k).any():
                 order = np.lexsort((xs[c], -s[r, c], r))
                 r, c = r[order], c[order]
-                first = np.r_[True, r[1:] != r[:-1]]
-                place = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-                r, c = r[place < k], c[place < k]
+                start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                size = np.diff(np.r_[start, len(r)])
+                place = np.arange(len(r)) - np.repeat(start, size)
+                # all within the coding error of the k-th stay
+                kth = np.repeat(s[r[np.minimum(start + k, start + size) - 1], c[np.minimum(start + k, start + size) - 1]], size)
+                keep = (place < k) | (s[r, c] >= kth - 2 * CODE_ERROR)
+                r, c = r[keep], c[keep]
             out.append((q[r], xs[c]))
         a, b = (np.concatenate(p) for p in zip(*out))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -183,36 +214,45 @@ def similar_pairs(
     once.  Approximate only in that a neighbour may meet a query in none of the visited leaves; the
     similarities themselves are exact.  Empty tables and tables with one vector give no rows.
     """
-    spark = df.sparkSession
-    rows = usable_vectors(df, id_col, vector, dim)
-    code = lambda: [F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")]
-    members = materialize(
-        rows.select("id", *code()).join(
-            rows.groupBy(*code()).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), ["h1", "h2"]
-        ).select("id", "rep", "n").distinct(),
-        "members",
-    )
+    source = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    hashed = _each_batch(source, dim, _hashes, "id bigint, h1 bigint, h2 bigint").distinct()
+    groups = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    members = materialize(hashed.join(groups, ["h1", "h2"]).select("id", "rep", "n"), "members")
     copies = members.filter("n > 1")
-    unique = materialize(rows.join(copies.filter("id <> rep").select("id"), "id", "left_anti"), "vectors")
-    total = unique.count()
-    share = min(1.0, options.sample / max(1, total))
-    picked = unique.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    taken = picked.limit(2 * options.sample).toArrow()
-    sample = _matrix(taken.column("vec"), dim) if taken.num_rows else np.zeros((0, dim), np.float32)
-    forest = Forest(sample, total, options)
-    near = _candidates(_in_cells(unique, forest, dim), dim, k + 1, least - 0.004)
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    with_a = pairs.join(unique.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
-    both = with_a.join(unique.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
+    others_than_first = copies.filter("id <> rep").select("id")
+    unique = source.join(bounded_broadcast(others_than_first, SMALL), "id", "left_anti")
+    total = members.filter("id = rep").count()
+    parts = max(1, int(total / options.sample))
+    picked = unique.filter(F.pmod(F.xxhash64("id", F.lit(options.seed)), F.lit(parts)) == 0)
+    taken = _each_batch(picked, dim, lambda ids, unit: [pa.array(ids), _fixed(unit)], "id bigint, vec binary")
+    rows = taken.limit(2 * options.sample).toArrow().column("vec").to_pylist()
+    sample = np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim)
+    # bounded by the sample's size
+    forest = df.sparkSession.sparkContext.broadcast(Forest(sample, total, options))
+
+    def placed(ids: np.ndarray, unit: np.ndarray) -> list[pa.Array]:
+        row, cell, own = forest.value.cells(unit)
+        take = pa.array(row)
+        return [pa.array(ids).take(take), pa.array(cell), pa.array(own), _fixed(_coded(unit)).take(take)]
+
+    cells = _each_batch(unique, dim, placed, "id bigint, cell bigint, own boolean, code binary")
+    near = _candidates(cells, dim, k + 1, least - CODE_ERROR)
+    pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    vectors = _each_batch(
+        source.join(bounded_broadcast(wanted, SMALL), "id", "left_semi"), dim, lambda ids, unit: [pa.array(ids), _fixed(unit)], "id bigint, vec binary"
+    )
+    with_a = pairs.join(vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
+    both = with_a.join(vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b").select("a", "b", "va", "vb")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (_matrix(batch.column(c), dim).astype(np.float64) for c in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, dim).astype(np.float64) for c in (2, 3))
                 s = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["a", "b", "s"])
 
-    exactly = materialize(both.mapInArrow(exact, "a bigint, b bigint, s double").filter(F.col("s") >= least), "pairs")
+    exactly = materialize(both.mapInArrow(exact, "a bigint, b bigint, s double").filter(F.col("s") >= least).distinct(), "pairs")
     directed = exactly.unionByName(exactly.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
 
     # back to all ids: a group of copies is entered by its k + 1 smallest ids, which is all any list can use
