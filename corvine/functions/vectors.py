@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_DIMS = 16_000
 MAX_FLOAT32 = 3.4028234663852886e38
@@ -181,7 +182,7 @@ def format_vector(a) -> Column:
     return F.when(_col(a).isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(_col(a), number_text), ","), F.lit("]")))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def to_half(values: pd.Series) -> pd.Series:
     """Elements rounded to half precision; out of range is an error, tiny values become 0."""
     import numpy as np
@@ -198,7 +199,7 @@ def to_half(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def send_vector(values: pd.Series) -> pd.Series:
     """Binary form: dimensions and a zero as int16, then float32 elements, all big-endian."""
     import struct
@@ -208,7 +209,7 @@ def send_vector(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else struct.pack(">hh", len(v), 0) + np.asarray(v, ">f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def receive_vector(data: pd.Series) -> pd.Series:
     import struct
 

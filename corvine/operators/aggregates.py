@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _by_element(df: DataFrame, keys: list[str], vector: str, agg) -> DataFrame:
@@ -40,8 +41,8 @@ def vector_sum(df: DataFrame, vector: str, keys: list[str] | None = None, out: s
     return r.select(*(keys or []), F.when(bad, F.raise_error(F.lit("value out of range: overflow"))).otherwise(f).alias(out))
 
 
-@F.pandas_udf("array<float>")
-def half_sum(values: pd.Series) -> list:
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def half_sum(values: pd.Series) -> object:
     """Running sum in half precision in the order of arrival, which loses digits by design."""
     import numpy as np
 

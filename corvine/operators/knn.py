@@ -19,7 +19,7 @@ QUERY_BLOCK = 4096
 def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Distance of every query to every row, in double."""
     q, x = q.astype(np.float64), x.astype(np.float64)
-    if metric == "l1":
+    if metric in ("l1", "hamming"):
         return np.stack([np.abs(x - v).sum(axis=1) for v in q]) if len(q) else np.zeros((0, len(x)))
     dot = q @ x.T
     if metric == "ip":
@@ -28,6 +28,9 @@ def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
             s = dot / np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None, :])
         return 1 - np.clip(s, -1, 1)
+    if metric == "jaccard":
+        total = q.sum(axis=1)[:, None] + x.sum(axis=1)[None, :] - dot
+        return 1 - np.where(dot > 0, dot / np.maximum(total, 1), 0.0)
     if metric == "l2":
         return np.sqrt(np.maximum(0.0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * dot))
     raise ValueError(f"unknown metric {metric}")
