@@ -60,8 +60,8 @@ def with_section_ids(chunks: DataFrame, key: str, url: str = "url") -> DataFrame
     return a.withColumn("section_id", F.concat(document_key(F.col(url)), F.lit("#"), F.col("anchor"), suffix))
 
 
-def numbered_headings(chunks: DataFrame, key: str) -> DataFrame:
-    """section_key: the lower-case heading, with #2, #3 for repeats in chunk order."""
+def numbered_headings(chunks: DataFrame, key: str, tie: str = "id") -> DataFrame:
+    """section_key: the lower-case heading, with #2, #3 for repeats in chunk order, ties by the column ``tie``."""
     low = F.lower(F.coalesce("heading", F.lit("")))
-    n = F.row_number().over(W.partitionBy(key, low).orderBy("chunk_index"))
+    n = F.row_number().over(W.partitionBy(key, low).orderBy("chunk_index", tie))
     return chunks.withColumn("section_key", F.concat(low, F.when(n > 1, F.concat(F.lit("#"), n.cast("string"))).otherwise(F.lit(""))))

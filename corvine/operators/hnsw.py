@@ -98,16 +98,18 @@ class Graph:
 
     def choose(self, candidates: list[tuple[float, int]], most: int) -> list[int]:
         """Neighbours closer to the element than to any neighbour kept before; filled up with the pruned."""
+        if len(candidates) <= 1:
+            return [e for _, e in candidates]
+        x = self.x[[e for _, e in candidates]]
+        between = np.stack([_distance(self.options.metric, v, x) for v in x]).tolist()
         kept: list[int] = []
         pruned: list[int] = []
-        for d, e in candidates:
+        for k, (d, _) in enumerate(candidates):
             if len(kept) >= most:
                 break
-            if not kept or (self.near(self.x[e], kept) > d).all():
-                kept.append(e)
-            else:
-                pruned.append(e)
-        return kept + pruned[: most - len(kept)]
+            row = between[k]
+            (kept if all(row[j] > d for j in kept) else pruned).append(k)
+        return [candidates[k][1] for k in kept + pruned[: most - len(kept)]]
 
     def add(self, e: int, level: int) -> None:
         o, q = self.options, self.x[e]

@@ -114,7 +114,7 @@ def vector_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
-    return df.select(*keys, F.posexplode(c).alias("pos", "x")).select(*keys, "pos", F.round(F.col("x").cast("double"), 3).alias("x"))
+    return df.select(*keys, F.posexplode(c).alias("pos", "x")).select(*keys, "pos", (F.round(F.col("x").cast("double"), 3) + 0.0).alias("x"))
 
 
 def vec_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,9 +305,9 @@ ORACLE = {
     "vec_order": f"WITH {ROWS}, e AS (SELECT vec_id, CASE WHEN label % 2 = 0 THEN v ELSE v[1:32] END AS v FROM r)"
     " SELECT a.vec_id, CAST(CASE WHEN a.v < b.v THEN -1 WHEN a.v > b.v THEN 1 ELSE 0 END AS INTEGER) AS cmp, a.v <= b.v AS le, a.v = a.v AS eq FROM e a JOIN e b ON b.vec_id = a.vec_id + 1",
     "vec_round_trips": "SELECT vec_id, TRUE AS text_same, TRUE AS binary_same, TRUE AS sparse_same FROM embeddings",
-    "vec_avg": f"{_ARRAYS} SELECT CAST(pos AS INTEGER) AS pos, round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) AS x FROM p GROUP BY pos",
-    "vec_sum": f"{_ARRAYS} SELECT label, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(sum(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) AS x FROM p GROUP BY label, pos",
-    "vec_avg_group": f"{_ARRAYS} SELECT label, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) AS x FROM p GROUP BY label, pos",
+    "vec_avg": f"{_ARRAYS} SELECT CAST(pos AS INTEGER) AS pos, round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS x FROM p GROUP BY pos",
+    "vec_sum": f"{_ARRAYS} SELECT label, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(sum(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS x FROM p GROUP BY label, pos",
+    "vec_avg_group": f"{_ARRAYS} SELECT label, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS x FROM p GROUP BY label, pos",
     "sparse_distances": f"WITH {SPARSE}, {ONE} SELECT vec_id, CAST(len(list_filter(v, lambda x: x <> 0)) AS INTEGER) AS nnz, round({SQL_DISTANCE['l2']}, 4) AS l2, round({DOT}, 4) AS ip,"
     f" round({SQL_DISTANCE['l1']}, 4) AS l1, round({SQL_DISTANCE['cosine']}, 4) AS cosine, round(sqrt({SQUARES('v')}), 4) AS norm,"
     " CAST(CASE WHEN v < w THEN -1 WHEN v > w THEN 1 ELSE 0 END AS INTEGER) AS cmp FROM r CROSS JOIN q",
