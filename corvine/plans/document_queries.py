@@ -194,6 +194,8 @@ QUERIES = {
 VER = "CASE WHEN regexp_full_match({0}, '[0-9]+(\\.[0-9]+)+') THEN list_transform(string_split({0}, '.'), lambda x: CAST(x AS INTEGER)) END"
 SEG = "list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')"
 ALIAS = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+RID = "regexp_extract(url, '[?&]resourceId=([^&#]*)', 1)"
+SLUG = f"CASE WHEN {RID} <> '' THEN string_split({RID}, '_')[-1] ELSE seg[len(seg)] END"
 HASH = "nullif(trim(regexp_replace(lower(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')), '^sha256:\\s*', '')), '')"
 STATE = "state AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS LAST, rec_id DESC) AS n FROM pages) WHERE n = 1)"
 ANCHOR = (
@@ -243,11 +245,11 @@ SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS
 ORACLE = {
     "url_parts": f"""WITH {PLACED} SELECT doc_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS host, product AS url_product,
  coalesce(nullif(list_filter(list_transform(seg, lambda x: regexp_extract(x, '^([0-9]+(?:\\.[0-9]+)+)(?:-|$)', 1)), lambda x: x <> '')[-1], ''), '') AS url_version,
- seg[len(seg)] AS slug, CAST(len(seg) AS INTEGER) AS segments, CASE WHEN len(kept) = 0 THEN '' WHEN vp > 1 THEN rest[vp - 1] ELSE kept[1] END AS loc_manual,
+ {SLUG} AS slug, CAST(len(seg) AS INTEGER) AS segments, CASE WHEN len(kept) = 0 THEN '' WHEN vp > 1 THEN rest[vp - 1] ELSE kept[1] END AS loc_manual,
  CASE WHEN len(kept) = 0 THEN '' ELSE lower(product || '/' || array_to_string(kept, '/')) END AS loc_canonical,
  (SELECT {ALIAS.format('d.title')} FROM documents d WHERE d.doc_id = l.doc_id) AS title_alias,
  product || '/' || CASE WHEN version = '' THEN '_unversioned' ELSE version END || '/' || coalesce(nullif(array_to_string(list_filter(rest, lambda x: NOT regexp_full_match(x, '[0-9]+(\\.[0-9]+)+')), '/'), ''), 'index') || '.md' AS file_path,
- 'path:' || {ALIAS.format("product || '/' || array_to_string(kept0, '/')")} || ' slug:' || {ALIAS.format('seg[len(seg)]')} AS aliases FROM l""",
+ CASE WHEN {RID} <> '' THEN '' ELSE 'path:' || {ALIAS.format("product || '/' || array_to_string(kept0, '/')")} || ' ' END || 'slug:' || {ALIAS.format(SLUG)} AS aliases FROM l""",
     "keys_and_hashes": f"""SELECT doc_id, substr(sha256(url), 1, 16) AS doc_key, sha256(coalesce(title, '') || '|' || coalesce(text, '')) AS body_hash, 'sha256:' || sha256(coalesce(text, '')) AS crawl_hash,
  {ANCHOR.format('title')} AS title_anchor, strftime(updated_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS updated,
  CAST(length('search_document: ' || coalesce(title, '') || CASE WHEN coalesce(breadcrumb, '') <> '' THEN ' > ' || breadcrumb ELSE '' END || chr(10) || coalesce(text, '')) AS INTEGER) AS embed_chars,
