@@ -23,12 +23,17 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, v = F.col("url"), F.coalesce("version", F.lit(""))
-    place = D.doc_location(u, D.url_product(u), v)
-    return _docs(spark, sf_dir).select(
-        "doc_id", D.url_host(u).alias("host"), D.url_product(u).alias("url_product"), F.coalesce(D.extract_version(u), F.lit("")).alias("url_version"), D.extract_slug(u).alias("slug"),
-        F.size(D.path_segments(u)).alias("segments"), place["manual"].alias("loc_manual"), place["canonical_id"].alias("loc_canonical"), D.normalize_alias(F.col("title")).alias("title_alias"),
-        D.output_path(u, D.url_product(u), v).alias("file_path"), F.array_join(D.url_aliases(u, D.url_product(u)), " ").alias("aliases"),
+    d = D.with_location(_docs(spark, sf_dir).select("doc_id", "url", "title", v.alias("version")), F.col("version"))
+    plain = F.filter("rest", lambda s: ~s.rlike(D.PURE_VERSION))
+    path = F.coalesce(F.nullif(F.array_join(plain, "/"), F.lit("")), F.lit("index"))
+    kept = d.drop("rest", "kept", "loc_manual", "loc_canonical", "seg", "url_product").withColumn("version", F.lit(""))
+    again = D.with_location(kept, F.col("version")).select("doc_id", F.array_join(D.aliases_to_try(F.col("loc_canonical"), F.col("seg"), u), " ").alias("aliases"))
+    out = d.select(
+        "doc_id", D.url_host(u).alias("host"), "url_product", F.coalesce(D.extract_version(u), F.lit("")).alias("url_version"), D.extract_slug(u).alias("slug"),
+        F.size("seg").alias("segments"), "loc_manual", "loc_canonical", D.normalize_alias(F.col("title")).alias("title_alias"),
+        F.concat_ws("/", "url_product", F.when(F.col("version") == "", "_unversioned").otherwise(F.col("version")), F.concat(path, F.lit(".md"))).alias("file_path"),
     )
+    return out.join(again, "doc_id")
 
 
 def keys_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +140,8 @@ def document_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every crawled url resolved to a stored page, by itself or by its aliases."""
     u = F.col("url")
-    wanted = table(spark, sf_dir, "pages").select("url").distinct().withColumn("tries", D.url_aliases(u, D.url_product(u)))
+    urls = table(spark, sf_dir, "pages").select("url").distinct().withColumn("version", F.lit(""))
+    wanted = D.with_location(urls, F.col("version")).select("url", D.aliases_to_try(F.col("loc_canonical"), F.col("seg"), u).alias("tries"))
     return tools.resolve(wanted, _docs(spark, sf_dir)).select("url", "resolved_id", "by_alias")
 
 
