@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = "[a-z0-9_./:-]+"
+TOKEN = "[a-z0-9_](?:[a-z0-9_./:-]*[a-z0-9_])?"
 
 
 def simple_tokens(text: Column) -> Column:
     """Lower-case tokens with inner punctuation kept, so that identifiers stay whole; null text gives none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
-    return F.filter(F.transform(found, lambda t: F.regexp_replace(t, "^[./:-]+|[./:-]+$", "")), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
 # Common English words that are no search terms.
@@ -51,6 +51,7 @@ STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
+@lru_cache(maxsize=200_000)
 def stem(w: str) -> str:
     """Stem of an English word; words with anything but letters stay as they are."""
     if len(w) <= 2 or not (w.isascii() and w.isalpha()):

@@ -11,7 +11,7 @@ from corvine.operators import chunking, upsert
 from corvine.operators.incremental import clean_hash
 from corvine.plans import search as S
 from corvine.plans import tools
-from corvine.session import table
+from corvine.session import once, table
 from corvine.sources.web import extract_articles
 
 SEARCH = "hot volume max_queue_kb"
@@ -155,8 +155,8 @@ def compare_versions_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexemes_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = simple_tokens(F.col("content"))
-    return table(spark, sf_dir, "chunks").select("id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_lexemes"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    t = F.col("t")
+    return once(table(spark, sf_dir, "chunks").select("id", "content"), t=simple_tokens(F.col("content"))).select("id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_lexemes"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 def lexemes_english(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvine.functions.analyzers import english_lexemes, english_tokens, simple_tokens, stem
 from corvine.functions.docs import citation_url, identifier_tokens, leg_weights, merge_filters, parse_version, section_key
 from corvine.functions.vectors import cosine_distance
+from corvine.session import once
 
 POOL = 60
 RRF_K = 60
@@ -90,7 +91,8 @@ def tokens(analyzer: str, c: str) -> Column:
 
 
 def with_tokens(rows: DataFrame, analyzer: str, prefix: str) -> DataFrame:
-    return rows.withColumns({f"{prefix}{f}": tokens(analyzer, f) for f in FIELD_WEIGHTS})
+    columns = {f"{prefix}{f}": tokens(analyzer, f) for f in FIELD_WEIGHTS}
+    return once(rows, **columns) if analyzer == "simple" else rows.withColumns(columns)
 
 
 def term_count(prefix: str, name: str, lexeme: str) -> Column:
