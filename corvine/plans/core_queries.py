@@ -22,3 +22,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p7_found": p7_found}
+
+HASH = "nullif(trim(regexp_replace(lower(regexp_replace(content_hash, '^\\s+|\\s+$', '', 'g')), '^sha256:\\s*', '')), '')"
+
+ORACLE = {
+    "p7_found": f"""WITH r AS (SELECT run_no FROM crawl_runs WHERE status = 'succeeded'),
+ f AS (SELECT url, run_no, fetched_at, {HASH} AS h FROM pages WHERE http_status = 200 AND {HASH} IS NOT NULL),
+ c AS (SELECT r.run_no, url, arg_max(h, fetched_at || h) AS h FROM r JOIN f ON f.run_no <= r.run_no GROUP BY ALL),
+ d AS (SELECT url, {HASH} AS h FROM documents),
+ w AS (SELECT c.*, coalesce(lag(c.h) OVER (PARTITION BY c.url ORDER BY c.run_no), d.h) AS before FROM c LEFT JOIN d ON c.url = d.url)
+ SELECT run_no, url FROM w WHERE h IS DISTINCT FROM before""",
+}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvine.functions.analyzers import english_lexemes, english_tokens, simple_tokens, stem
 from corvine.functions.docs import citation_url, identifier_tokens, leg_weights, merge_filters, parse_version, section_key
 from corvine.functions.vectors import cosine_distance
-from corvine.session import once
+from corvine.session import materialize, once
 
 POOL = 60
 RRF_K = 60
@@ -137,12 +137,16 @@ def legs(rows: DataFrame, args: SearchArgs) -> tuple[DataFrame, list[list[str]]]
     ids = identifier_tokens(args.query)
     strict_w, broad_w, exact_w, semantic_w = leg_weights(args.mode, bool(ids))
     strict = analysed(args.query, args.analyzer)
-    plain = with_tokens(rows, args.analyzer, "__t_")
     parts: list[tuple[DataFrame, float]] = []
-    if strict_w > 0 and strict:
-        parts.append((leg(plain, lexical_score(strict, "__t_", True), "keyword"), strict_w))
-    if broad_w > 0 and strict:
-        parts.append((leg(plain, lexical_score(strict, "__t_", False), "partial"), broad_w))
+    if strict and (strict_w > 0 or broad_w > 0):
+        # both legs from one pass over the text: what matches all terms also matches some
+        plain = with_tokens(rows.select("id", *FIELD_WEIGHTS), args.analyzer, "__t_")
+        scores = plain.select("id", lexical_score(strict, "__t_", True).alias("k"), lexical_score(strict, "__t_", False).alias("p"))
+        scores = materialize(scores.filter("p is not null"), "scores")
+        if strict_w > 0:
+            parts.append((leg(scores, F.col("k"), "keyword"), strict_w))
+        if broad_w > 0:
+            parts.append((leg(scores, F.col("p"), "partial"), broad_w))
     exact = analysed(" OR ".join(ids), "simple") if ids else analysed(args.query, "simple")
     if exact_w > 0 and exact:
         parts.append((leg(with_tokens(rows, "simple", "__e_"), lexical_score(exact, "__e_", True), "identifier"), exact_w))
