@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corvine.session import bounded_broadcast
 
 BINS = 256
-MAX_CELLS = 200_000
+MAX_CELLS = 20_000
 """Most cells and bins that come to the driver; more are an error, not a sample."""
 
 
