@@ -21,6 +21,11 @@ def _of(dim: Column, entries: Column) -> Column:
     return F.struct(dim.cast("int").alias("dim"), F.transform(kept, lambda e: e["i"]).alias("indices"), F.transform(kept, lambda e: e["v"]).alias("values"))
 
 
+def _value(s: Column, i: Column) -> Column:
+    """Element of index i, 0 where none is held; a scan of the indices, since a map would be built anew for each i."""
+    return F.coalesce(F.get(s["values"], F.array_position(s["indices"], i).cast("int") - 1), F.lit(0.0).cast("float"))
+
+
 def from_dense(a: Column) -> Column:
     """Zeros are dropped after rounding to float."""
     entries = F.transform(a, lambda x, k: F.struct(k.alias("i"), x.cast("float").alias("v")))
@@ -29,8 +34,7 @@ def from_dense(a: Column) -> Column:
 
 def to_dense(s: Column) -> Column:
     """array<float>; at most 16000 dimensions."""
-    at = F.map_from_arrays(s["indices"], s["values"])
-    out = F.transform(F.sequence(F.lit(0), s["dim"] - 1), lambda k: F.coalesce(F.try_element_at(at, k), F.lit(0.0).cast("float")))
+    out = F.transform(F.sequence(F.lit(0), s["dim"] - 1), lambda k: _value(s, k))
     return F.when(s["dim"] <= 16_000, out).when(s["dim"] > 16_000, _error("vector cannot have more than 16000 dimensions"))
 
 
@@ -64,10 +68,8 @@ def format_sparse(s: Column) -> Column:
 
 def _merged(a: Column, b: Column, f) -> Column:
     """f over every index either vector holds, missing values 0."""
-    ma, mb = F.map_from_arrays(a["indices"], a["values"]), F.map_from_arrays(b["indices"], b["values"])
-    zero = F.lit(0.0)
-    value = lambda m, i: F.coalesce(F.try_element_at(m, i).cast("double"), zero)
-    total = F.aggregate(F.transform(F.array_union(a["indices"], b["indices"]), lambda i: f(value(ma, i), value(mb, i))), zero, lambda s, x: s + x)
+    value = lambda s, i: _value(s, i).cast("double")
+    total = F.aggregate(F.transform(F.array_union(a["indices"], b["indices"]), lambda i: f(value(a, i), value(b, i))), F.lit(0.0), lambda s, x: s + x)
     ok = a["dim"] == b["dim"]
     return F.when(ok, total).when(~ok, _error("different sparsevec dimensions"))
 
@@ -103,10 +105,8 @@ def sparse_normalize(a: Column) -> Column:
 
 def sparse_cmp(a: Column, b: Column) -> Column:
     """-1, 0 or 1 as the dense vectors compare: by the first index where they differ, then by dimension."""
-    ma, mb = F.map_from_arrays(a["indices"], a["values"]), F.map_from_arrays(b["indices"], b["values"])
-    value = lambda m, i: F.coalesce(F.try_element_at(m, i), F.lit(0.0).cast("float"))
     shared = F.filter(F.array_sort(F.array_union(a["indices"], b["indices"])), lambda i: (i < a["dim"]) & (i < b["dim"]))
-    first = F.get(F.filter(shared, lambda i: value(ma, i) != value(mb, i)), 0)
-    by_value = F.when(value(ma, first) < value(mb, first), -1).otherwise(1)
+    first = F.get(F.filter(shared, lambda i: _value(a, i) != _value(b, i)), 0)
+    by_value = F.when(_value(a, first) < _value(b, first), -1).otherwise(1)
     by_dim = F.when(a["dim"] < b["dim"], -1).when(a["dim"] > b["dim"], 1).otherwise(0)
     return F.when(a.isNull() | b.isNull(), None).when(first.isNotNull(), by_value).otherwise(by_dim)
