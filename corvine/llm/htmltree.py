@@ -37,6 +37,8 @@ class Element:
     path: str
     group: int
     """Running number of the innermost list, table, row or other container."""
+    boxes: tuple[int, ...] = ()
+    """Running numbers of all open containers, outermost first."""
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: list[str] = field(default_factory=list)
@@ -63,13 +65,16 @@ def read(source: str) -> list[Element]:
                 return e
         return None
 
+    def boxes() -> tuple[int, ...]:
+        return tuple(dict.fromkeys(g for _, _, g in stack if g))
+
     def say(text: str) -> None:
         nonlocal anchors
         if not text:
             return
         e = holder()
         if e is None and not numbered and text.strip():
-            e = Element("text", len(out) + 1, "/".join(t for t, _, _ in stack) or "text", groups)
+            e = Element("text", len(out) + 1, "/".join(t for t, _, _ in stack) or "text", groups, boxes())
             out.append(e)
         if e is not None:
             text = html.unescape(text) if "&" in text else text
@@ -110,7 +115,7 @@ def read(source: str) -> list[Element]:
         element = None
         if number or (not numbered and tag in BLOCKS and tag not in FENCES):
             path = "/".join(t for t, _, _ in stack)
-            element = Element(tag, int(number[1]) if number else len(out) + 1, f"{path}/{tag}" if path else tag, stack[-1][2] if stack else 0)
+            element = Element(tag, int(number[1]) if number else len(out) + 1, f"{path}/{tag}" if path else tag, stack[-1][2] if stack else 0, boxes())
             out.append(element)
         if tag == "a":
             anchors += 1

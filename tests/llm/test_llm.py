@@ -65,6 +65,18 @@ def test_main_body():
     assert mainbody.trail_places(["Menu", " Quarry Core ", "", None, "Admin Guide", "Raw Events", "Tune it"], "https://h/en/quarry-core/admin-guide/9.1/raw-events/tune-it-3f", "Tune it") == [1, 4, 5, 6]
 
 
+def test_main_body_ends_at_the_dive():
+    body = "".join(f'<p data-node="{n}">Paragraph {n} tells how the queue drains its events and what it keeps.</p>' for n in range(4, 10))
+    foot = '<div><p data-node="10">A text at the foot of each page in a wording of its own, which no rule knows.</p></div>'
+    side = '<div><p data-node="3">Words at the side about a fair in the town hall, again in no known wording.</p></div>'
+    numbers = lambda s: [e.number for e in mainbody.body_elements(htmltree.read(s))]
+    assert numbers(f'<article><h1 data-node="1">Tune it</h1>{body}</article>{foot}') == [1, *range(4, 10)]
+    assert numbers(f'<div><h1 data-node="1">The site</h1></div>{side}<article><h1 data-node="2">Tune it</h1>{body}</article>{foot}') == [2, *range(4, 10)]
+    assert numbers(f'<div><h1 data-node="1">Tune it</h1></div>{side}<article>{body}</article>{foot}') == [1, *range(4, 10)]
+    gap = "".join(f'<button data-node="{n}">Yes</button>' for n in range(10, 14))
+    assert numbers(f'<h1 data-node="1">Tune it</h1>{body}{gap}<p data-node="14">Odds and ends</p>') == [1, *range(4, 10)]
+
+
 def test_main_body_tables(spark):
     rows = [(1, "u", "t", ["x"], PAGE, 1), (1, "u", "t", ["x"], PAGE, 1), (2, None, None, None, None, 1), (3, "u", "t", [], "", 1), (4, "u", "t", ["x"], "<p>" + LONG, 1), (5, "u", "t", None, "<<<div <p", 1)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, title string, breadcrumbs array<string>, content_html string, body_nodes int")
