@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corvine.llm import blocks, htmltree, mainbody, markup, mixing, neighbours, pii, repetition, splitting, tagger, tokens
 
@@ -77,6 +78,15 @@ def test_main_body_ends_at_the_dive():
     assert numbers(f'<h1 data-node="1">Tune it</h1>{body}{gap}<p data-node="14">Odds and ends</p>') == [1, *range(4, 10)]
 
 
+def test_repeated_texts_count_pages_once(spark):
+    page = lambda n: f"<h1>Page {n}</h1><p>The body of page {n} is told in a sentence of its own.</p><p>The same sentence stands on each of these pages.</p>"
+    rows = [(i, "hot", page(0)) for i in range(40)] + [(100 + n, f"u{n}", page(n)) for n in range(1, 21)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, content_html string")
+    assert mainbody.repeated_texts(df) == {mainbody.text_key("The same sentence stands on each of these pages.")}
+    assert mainbody.repeated_texts(df.withColumn("url", F.lit(None).cast("string")).limit(40)) != set()
+    assert mainbody.repeated_texts(df.limit(0)) == set()
+
+
 def test_main_body_tables(spark):
     rows = [(1, "u", "t", ["x"], PAGE, 1), (1, "u", "t", ["x"], PAGE, 1), (2, None, None, None, None, 1), (3, "u", "t", [], "", 1), (4, "u", "t", ["x"], "<p>" + LONG, 1), (5, "u", "t", None, "<<<div <p", 1)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, title string, breadcrumbs array<string>, content_html string, body_nodes int")
