@@ -4,7 +4,9 @@ Token sums per cell (source, language, topic) are counted over all documents.  T
 largest at which every present source reaches its share within its repeat cap.  Cell weights start
 at 1 and are raked to the marginals in turn, source last.  A document is used
 floor(weight + u) times, u being a uniform value fixed by its id, which makes the expected use equal
-to the weight; a last factor per source, found on the token sums by u, makes the shares exact.
+to the weight; a last factor per source makes the shares exact but for one document.  The uses of a
+document step up at the factors (n - u) / weight; the factor is the quantile of those steps by tokens,
+found in a few passes over the rows, each of which refines the deciding bin of every source.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql import functions as F
 
 from corvine.session import bounded_broadcast
 
-BINS = 256
+BINS = 4096
+MAX_BINS = 1 << 18
+"""Bins of one source, and most of all sources together, that come to the driver in one pass."""
 MAX_CELLS = 20_000
-"""Most cells and bins that come to the driver; more are an error, not a sample."""
+"""Most cells that come to the driver; more are an error, not a sample."""
 
 
 @dataclass(frozen=True)
@@ -50,13 +54,81 @@ def rake(tokens: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray],
             with np.errstate(divide="ignore", invalid="ignore"):
                 factor = np.where(reached > 0, target / reached, 1.0)
             w = np.minimum(w * factor[of], caps)
-        if np.abs(w - before).max(initial=0) <= tolerance:
+        if (np.abs(w - before) <= tolerance * w).all():
             break
     return w
 
 
-def _uses(w: np.ndarray, u: np.ndarray, cap: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(w + u), cap)
+def expected_factors(tokens: np.ndarray, w: np.ndarray, of: np.ndarray, caps: np.ndarray, goals: np.ndarray) -> np.ndarray:
+    """Per source the factor at which the expected use, min(weight * factor, cap), meets its goal."""
+    out = np.ones(len(goals))
+    for k in range(len(goals)):
+        own = (of == k) & (w > 0)
+        if not own.any():
+            continue
+        t, ww = tokens[own], w[own]
+        lo, hi = 0.0, float(caps[k] / ww.min())
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (t * np.minimum(mid * ww, caps[k])).sum() < goals[k] else (lo, mid)
+        out[k] = hi
+    return out
+
+
+def _uses(f: Column) -> Column:
+    """How many of a document's steps, (n - u) / w for n from 1 to cap, are at most f."""
+    step = lambda n: (n - F.col("u")) / F.col("w")
+    near = F.floor(F.col("w") * f + F.col("u"))
+    n = near + F.when(step(near + 1) <= f, 1).otherwise(0) - F.when(step(near) > f, 1).otherwise(0)
+    return F.greatest(F.lit(0), F.least(n, F.col("cap"))).cast("bigint")
+
+
+def exact_factors(drawn: DataFrame, goals: np.ndarray, guess: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Per source the factor at which the tokens drawn come nearest to its goal.
+
+    drawn: k (number of the source), w (weight), u, cap, n_tokens.  guess: factors to begin at; most:
+    factors at which every document is used up to its cap.  A pass sums the steps within each source's
+    bracket by bins, and the bin that reaches the goal, cut to its outermost steps, is the next bracket.
+    """
+    spark = drawn.sparkSession
+    bins = max(16, min(BINS, MAX_BINS // max(len(goals), 1)))
+    lo, hi = np.minimum(guess, most) / 2, np.minimum(guess * 2, most)
+    factor, left = np.ones(len(goals)), [k for k in range(len(goals)) if np.isfinite(most[k])]
+    while left:
+        bracket = spark.createDataFrame([(k, float(lo[k]), float(hi[k])) for k in left], "k int, lo double, hi double")
+        t = (F.col("n") - F.col("u")) / F.col("w")
+        at = F.floor((t - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int")
+        steps = (
+            drawn.join(F.broadcast(bracket), "k")  # one row a source
+            .withColumn("low", _uses(F.col("lo")))
+            # the first entry stands for all steps up to lo
+            .withColumn("n", F.explode(F.sequence("low", F.greatest("low", _uses(F.col("hi"))))))
+            .select(
+                "k", F.when(F.col("n") == F.col("low"), -1).otherwise(F.greatest(F.lit(0), F.least(at, F.lit(bins - 1)))).alias("bin"), t.alias("t"),
+                F.when(F.col("n") == F.col("low"), F.col("low")).otherwise(1).cast("bigint") * F.col("n_tokens").cast("bigint"),
+            ).toDF("k", "bin", "t", "tokens")
+        )
+        sums = steps.groupBy("k", "bin").agg(F.sum("tokens").alias("s"), F.min("t").alias("a"), F.max("t").alias("b")).toPandas()
+        by = dict(list(sums.sort_values("bin").groupby("k")))
+        for k in list(left):
+            own = by[k]
+            base, own = float(own.loc[own["bin"] < 0, "s"].sum()), own[own["bin"] >= 0]
+            reached = base + own["s"].to_numpy(float).cumsum()
+            j = int(np.searchsorted(reached, goals[k]))
+            if base >= goals[k] and base > 0:  # the goal lies below the bracket
+                lo[k], hi[k] = (lo[k] / 64 if lo[k] > 1e-12 * guess[k] else 0.0), lo[k]
+            elif j < len(reached):
+                a, b, before = own["a"].iloc[j], own["b"].iloc[j], reached[j - 1] if j else base
+                lo[k], hi[k] = np.nextafter(a, 0.0), b
+                if a == b:  # one step, or equal ones
+                    factor[k] = lo[k] if goals[k] - before < reached[j] - goals[k] else hi[k]
+                    left.remove(k)
+            elif hi[k] < most[k]:
+                lo[k], hi[k] = hi[k], min(hi[k] * 64, most[k])
+            else:  # every document up to its cap
+                factor[k] = most[k]
+                left.remove(k)
+    return factor
 
 
 def mixture(documents: DataFrame, targets: DataFrame, options: MixOptions = MixOptions()) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +140,8 @@ def mixture(documents: DataFrame, targets: DataFrame, options: MixOptions = MixO
     that is no target, or without tokens are not used; a target without documents reaches 0 and its
     share is divided among the others in proportion.  A repeated target row counts by its greatest
     share; null shares and caps below 1 make a source unusable.  A source holding a third of all rows
-    is no group anywhere: only sums per cell are grouped, pre-aggregated by the scan.
+    is no group anywhere: only sums per cell and bin are grouped, pre-aggregated by the scan.  documents
+    are read in several passes, so a costly plan is written to a table first.
     """
     spark = documents.sparkSession
     goal = targets.filter("source is not null").groupBy("source").agg(
@@ -83,12 +156,11 @@ def mixture(documents: DataFrame, targets: DataFrame, options: MixOptions = MixO
         .join(wanted, "source")
         .select(
             "doc_id", "source", language(F.col("lang")).alias("language"), F.coalesce("manual", F.lit("")).alias("topic"),
-            "n_tokens", F.pmod(F.xxhash64("doc_id", F.lit(options.seed)), F.lit(BINS)).cast("int").alias("bin"),
+            "n_tokens", ((F.pmod(F.xxhash64("doc_id", F.lit(options.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u"),
         )
     )
-    sums = rows.groupBy("source", "language", "topic", "bin").agg(F.sum("n_tokens").alias("t")).limit(MAX_CELLS * BINS + 1).toPandas()
     key = ["source", "language", "topic"]
-    cells = sums.groupby(key, as_index=False)["t"].sum()
+    cells = rows.groupBy(*key).agg(F.sum("n_tokens").alias("t")).limit(MAX_CELLS + 1).toPandas()
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells")
     names = sorted(cells["source"].unique())
@@ -106,30 +178,21 @@ def mixture(documents: DataFrame, targets: DataFrame, options: MixOptions = MixO
         marginals.append(of)
         goals_by.append(np.bincount(of, tokens, minlength=len(classes)) * scale)
     w = rake(tokens, marginals, goals_by, cap[of_source], options.rounds, options.tolerance) if len(tokens) else np.zeros(0)
-    cells["w"] = w
-    # one factor per source, so that the drawn token sums meet the shares exactly but for a bin
-    joined = sums.merge(cells[[*key, "w"]], on=key)
-    joined["k"] = np.searchsorted(names, joined["source"]) if names else 0
-    u = (joined["bin"].to_numpy(float) + 0.5) / BINS
-    factor = np.ones(len(names))
-    for k in range(len(names)):
-        own = (joined["k"] == k).to_numpy()
-        t, ww, uu = joined["t"].to_numpy(float)[own], joined["w"].to_numpy(float)[own], u[own]
-        lo, hi = 0.0, 4.0 + 4.0 * float(cap[k])
-        for _ in range(40):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if (t * _uses(mid * ww, uu, cap[k])).sum() < share[k] * total else (lo, mid)
-        ends = [abs((t * _uses(x * ww, uu, cap[k])).sum() - share[k] * total) for x in (lo, hi)]
-        factor[k] = (lo, hi)[int(np.argmin(ends))]
-    cells["weight"] = cells["w"] * (factor[of_source] if len(names) else 1.0)
+    cells["k"], cells["w"] = of_source, w
     table = spark.createDataFrame(
-        [tuple(r) for r in cells[[*key, "weight"]].itertuples(index=False)], "source string, language string, topic string, weight double"
+        [(*r[:3], int(r[3]), float(r[4])) for r in cells[[*key, "k", "w"]].itertuples(index=False)], "source string, language string, topic string, k int, w double"
     )
-    uses = F.least(F.floor(F.col("weight") + (F.col("bin") + 0.5) / BINS), F.col("max_repeats")).cast("int")
+    drawn = (
+        rows.join(F.broadcast(table.filter("w > 0")), key)  # at most MAX_CELLS rows
+        .join(wanted.withColumnRenamed("max_repeats", "cap"), "source")
+    )
+    goals_of = share * total
+    least = np.array([w[(of_source == k) & (w > 0)].min(initial=np.inf) for k in range(len(names))])
+    factor = exact_factors(drawn, goals_of, expected_factors(tokens, w, of_source, cap, goals_of), cap / least)
+    factors = spark.createDataFrame([(k, float(f)) for k, f in enumerate(factor)], "k int, factor double")
     mixed = (
-        rows.join(F.broadcast(table), key)  # at most MAX_CELLS rows
-        .join(wanted, "source")
-        .withColumn("n_uses", uses)
+        drawn.join(F.broadcast(factors), "k")  # one row a source
+        .withColumn("n_uses", _uses(F.col("factor")).cast("int"))
         .filter("n_uses > 0")
         .select("doc_id", "source", "n_tokens", "n_uses")
     )

@@ -240,6 +240,19 @@ def test_mixture_reaches_the_shares(spark):
     assert empty.count() == 0 and shares.count() == 4
 
 
+def test_mixture_with_a_scarce_source(spark):
+    rng = random.Random(4)
+    docs = [(i, "big", rng.choice(["en", "de"]), rng.choice("xyz"), rng.randrange(1, 6)) for i in range(20000)]
+    docs += [(30000 + i, "tiny", "en", "x", 20) for i in range(5)] + [(40000 + i, "some", "en", "y", rng.randrange(1, 6)) for i in range(900)]
+    dd = spark.createDataFrame(docs, "doc_id bigint, source string, lang string, manual string, n_tokens int")
+    tt = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.2, 1), ("some", 0.3, 3)], "source string, target_share double, max_repeats int")
+    mixed, report = mixing.mixture(dd, tt)
+    assert {r["source"]: r["mixed_tokens"] for r in report.collect()} == pytest.approx({"big": 250, "tiny": 100, "some": 150}, abs=5)
+    assert all(r["n_uses"] == 1 for r in mixed.collect() if r["source"] != "some")
+    _, report = mixing.mixture(dd, tt, mixing.MixOptions(total_tokens=400.0))
+    assert {r["source"]: r["mixed_tokens"] for r in report.collect()} == pytest.approx({"big": 200, "tiny": 80, "some": 120}, abs=10)
+
+
 def test_rake_meets_marginals():
     rng = np.random.default_rng(1)
     t = rng.integers(1, 50, 24).astype(float)
