@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corvine.llm.blocks import fenced
 from corvine.llm.htmltree import Element, read
+from corvine.llm.mainbody import link_list
 
 # Names of HTML elements.
 ELEMENTS = (
@@ -130,12 +131,22 @@ def kinds_of(text: str | None) -> list[str]:
     return [k for k in KINDS if k in found]
 
 
+def lists_of(elements: list[Element]) -> list[list[int]]:
+    """Places of the items of each list."""
+    out: dict[int, list[int]] = {}
+    for k, e in enumerate(elements):
+        if e.tag in ("li", "dt", "dd"):
+            out.setdefault(e.group, []).append(k)
+    return list(out.values())
+
+
 def content_nodes(elements: list[Element]) -> list[bool]:
     """Content nodes by tag-path ratios.
 
     Per root-to-leaf path the text length and the punctuation are summed and divided by the path's
     nodes; both series are smoothed over neighbouring elements, multiplied, and cut at a fraction of
-    their spread.  Headings between content nodes count as content.
+    their spread.  A list is judged as one: unless it is a list of links, its short items count too.
+    Headings before content nodes count as content, through other headings.
     """
     n = len(elements)
     if n == 0:
@@ -149,7 +160,11 @@ def content_nodes(elements: list[Element]) -> list[bool]:
     smooth = [np.convolve(np.pad(r, 1, mode="edge"), kernel, mode="valid") for r in ratio]
     fused = (smooth[0] + length) * (1 + smooth[1])
     keep = fused > 0.25 * fused.std()
-    for k, e in enumerate(elements):
+    for members in lists_of(elements):
+        if not link_list(elements, members):
+            keep[members] = True
+    for k in range(n - 1, -1, -1):
+        e = elements[k]
         if e.tag in ("pre", "td", "th") or (e.tag[0] == "h" and e.tag[1:].isdigit() and keep[k + 1 : k + 3].any()):
             keep[k] = True
     return keep.tolist()

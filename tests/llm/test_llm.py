@@ -188,6 +188,13 @@ def test_clean_text():
     assert "# Tune the queue" in page and "```\na = 1 < 2\n```" in page and "| field_cap | 7 |" in page
 
 
+def test_pages_keep_short_lists():
+    links = "".join(f'<li><a href="/{n}">Page {n}</a></li>' for n in range(3))
+    long = "".join(f"<p>{'The queue drains, and the indexer, which waits, writes; then it rests. ' * n}</p>" for n in (12, 1, 9))
+    page = markup.clean_html(f"<ul>{links}</ul><article><h1>Tune it</h1><h2>Steps</h2><ol><li>Open a.conf</li><li>Set cap to 9</li></ol>{long}<h3>Options</h3><ul><li>ttl: 5</li></ul></article>")
+    assert page.startswith("# Tune it\n## Steps\n- Open a.conf\n- Set cap to 9\n") and page.endswith("### Options\n- ttl: 5") and "Page 1" not in page
+
+
 def test_markup_tables(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "<b>x</b>", "a"), (3, "<b>x</b>", "a")], "id bigint, content string, kinds string")
     got = sorted((r["id"], r["kinds"], r["clean"]) for r in markup.strip_markup(df).collect() if r["id"] > 1)
