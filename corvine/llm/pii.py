@@ -22,9 +22,27 @@ from corvine.llm.tagger import KINDS, tag_windows
 
 WINDOW, STRIDE, CONTEXT = 96, 64, 30
 WEIGHTS = "pii_weights.npz"
-UPPER = "A-ZÀ-ÖØ-Þ"
-WORD = rf"[{UPPER}][^\W\d_]*(?:[’'][^\W\d_]+)*"
+
+
+def _ranges(wanted) -> str:
+    """Characters of the basic plane as the inside of a character class."""
+    out: list[list[int]] = []
+    for c in range(0x10000):
+        if wanted(chr(c)):
+            if out and c == out[-1][1] + 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" if a < b else f"\\u{a:04x}" for a, b in out)
+
+
+UPPER = _ranges(lambda c: c.isupper() or c.istitle())
+# letters that have a case, and marks that combine with them; kana and ideographs begin and end words beside them
+CASED = _ranges(lambda c: c.isupper() or c.islower() or c.istitle()) + "\\u0300-\\u036f"
+WORD = rf"[{UPPER}][{CASED}]*(?:[’'][{CASED}]+)*"
 FAMILY = rf"{WORD}(?:-{WORD})*"
+# Words in small letters inside a name.
+PARTICLES = "(?:(?:van|von|vom|zu|zum|zur|der|den|de|del|della|di|da|do|dos|das|du|la|las|los|le|el|al|bin|ibn|ben|ter|ten|af|av|y|e) ){1,3}"
 # Capitalised words of sentences that are no part of a name.
 STARTS = (
     "The This That These Those If When Where While Since Unlike After Before Both Most Set Open Check Why Try Note By For With Are Do Not"
@@ -40,9 +58,10 @@ CODES = re.compile(r"[A-Z](?:[A-Z]? ?\d\d(?: ?\d\d){2,3}|ox \d)")
 PLACES = re.compile(rf"\d\d{{0,4}}[a-z]? (?:bis )?(?:(?:rue|avenue|chemin|boulevard|place|impasse|quai) |(?:[{UPPER}][^\W\d_]+ ){{1,3}}{STREETS})")
 ROADS = re.compile(r"(?:straße|strasse|gasse|weg|allee|platz|ring|damm|ufer|Calle|Avenida|Plaza|Paseo|Camino) (?:\d|(?<=[aeo] )[^\W\d_])")
 PAIRS = re.compile(
-    rf"[{UPPER}](?<![\w.].)(?:[^\W\d_]+(?:[’'-][^\W\d_]+)*,?|\.) (?:[{UPPER}]\. )?(?=[{UPPER}][^\W\d_])"
+    rf"[{UPPER}](?<![{CASED}\d_.].)(?:[{CASED}]+(?:[’'-][{CASED}]+)*,?|\.) (?:[{UPPER}]\. )?(?:{PARTICLES})?(?=[{UPPER}][{CASED}])"
 )
 NO_NAME = frozenset(x + " " for x in STARTS)
+SENTENCE = frozenset(STARTS)
 
 
 def anchors(text: str) -> list[tuple[int, int]]:
@@ -74,7 +93,7 @@ FORMS = {
         rf"|[{UPPER}][^\W\d_]+(?:[ -][{UPPER}]?[^\W\d_]+)?(?:straße|strasse|gasse|weg|allee|platz|ring|damm|ufer) \d+ ?[a-z]?(?:, \d{{5}} {WORD})?"
         rf"|(?<![\w.-])\d{{1,5}}[a-z]? (?:{WORD} ){{1,3}}?{STREETS}(?:, (?:Apt|Unit|Suite|#) ?\d+)?(?:,? {WORD})?(?:,? \d{{5}})?"
     ),
-    "name": re.compile(rf"{FAMILY}, {WORD}(?! ?\d)|(?:[{UPPER}]\. ){{1,2}}{FAMILY}|{WORD}(?: [{UPPER}]\.)* {FAMILY}"),
+    "name": re.compile(rf"{FAMILY}, {WORD}(?! ?\d)|(?:[{UPPER}]\. ){{1,2}}(?:{PARTICLES})?{FAMILY}|{WORD}(?: [{UPPER}]\.)* (?:{PARTICLES})?{FAMILY}"),
 }
 TITLE = re.compile(r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Sr|Sra|Mme|Don|Doña|Sir|Madame|Monsieur|Señor|Señora)\b\.?\s+)+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -160,7 +179,7 @@ def checked(stretch: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
         form = FORMS[kind]
         if kind == "name":
             while a > 0 and (stretch[a - 1].isalpha() or (stretch[a - 1] in "'’-" and a > 1 and stretch[a - 2].isalpha())) and stretch[a].isalnum():
-                if stretch[a].isupper() and not stretch[a - 1].isascii():
+                if stretch[a].isupper() and not (stretch[a - 1].isupper() or stretch[a - 1].islower() or stretch[a - 1] in "'’-"):
                     break
                 a -= 1
             while a < b and not stretch[a].isalpha():
@@ -168,7 +187,7 @@ def checked(stretch: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
             if t := TITLE.match(stretch, a, b):
                 a = t.end()
             m = form.match(stretch, a)
-            if m and m.end() - a >= 0.5 * (b - a) and len(m[0]) >= 4 and " " in m[0] and not _shouted(stretch, m):
+            if m and m.end() - a >= 0.5 * (b - a) and len(m[0]) >= 4 and " " in m[0] and not _shouted(stretch, m) and not SENTENCE.issuperset(m[0].split()):
                 out.append((a, m.end(), kind))
             continue
         best = None

@@ -26,6 +26,12 @@ GIVEN = (
     " Lotte Luca Mara Marta Mateo Naomi Noor Oskar Owen Pavel Priya Ravi Sofia Soren Stefan Tariq Tobin Vera Yusuf Zainab Anna"
     " Peter Maria John Julia Omar Chen Yuki Pierre Lucia Carlos Fatima Igor Nadia Tom Ruth"
 ).split()
+PARTICLES = "van|van der|van den|von|von der|zu|de|de la|de los|del|della|di|da|dos|du|la|le|el|al|bin|ben|ter".split("|")
+MARKED = dict(zip("acegilnorsuyzt", "á ć ę ğ ı ł ň ő ř š ů ý ž ț".split()))
+OTHERS = (
+    tuple("а е и о у я ов ин ан ев ко на ри ло ва де ми та сер пет ник гор бор лен дим вик пав".split()),
+    tuple("α ε η ι ο ω ος ης ας άκη νι κο πα γι δη μα λε ρα στα θα σο κα τρι βα".split()),
+)
 COMMON = (
     "the a of to and for with on in by when that is are was before after until while each every old new hot cold data search"
     " index queue peer token bucket cluster panel page sort open set raise read write keep drop users events records limit value"
@@ -35,6 +41,7 @@ COMMON = (
 CAPITAL = (
     "Quarry Ember Tallow Lodestar Pinion Forwarder Secure Cloud Core Observe Stream Relay Vault Apm Guide Manual Digest Network"
     " Search Install Admin Data Release Patch Answers Weekly Archive Host Aliases Raw Events User Roles Playbook Metric"
+    " Synthetics Sdk Js Py Rum Soar Intel Mission Charts Icons Ui Edge Hub Mobile Addon Database Endpoint Fieldguide Glossary"
 ).split()
 SENTENCE_STARTS = (
     "The Each If When Where Since Unlike After Before Old Both Most Set Open Check Why Try Note By This Restart Run Do Nothing"
@@ -113,6 +120,7 @@ Open a case in the %C %C portal
 Subscribe to the %C %C digest for weekly changes
 Contributors: the %C %C writing circle
 Back to top of %C %C manual
+Content feedback for %C %C is read on weekdays.
 © 2023 %C %C documentation group. All marks belong to their owners.
 This document applies to %C %C 9.%1 and later releases.
 You are viewing archived material from %C %C.
@@ -168,9 +176,24 @@ class Maker:
         s = (self.stem(1) + self.one(NAME_ENDS) if self.chance(0.85) else self.stem(2)).capitalize()
         return s + "-" + (self.stem(1) + self.one(NAME_ENDS)).capitalize() if self.chance(0.12) else s
 
+    def marked(self, word: str) -> str:
+        """A word with some letters outside Latin-1."""
+        s = "".join(MARKED[c] if c in MARKED and (k == 0 or self.chance(0.4)) else c for k, c in enumerate(word.lower()))
+        return "-".join(x.capitalize() for x in s.split("-"))
+
+    def other(self, kind: int) -> str:
+        return "".join(self.one(OTHERS[kind]) for _ in range(int(self.rng.integers(2, 4)))).capitalize()
+
     def name(self) -> tuple[str, str]:
         """(title before the piece, name)"""
         g, f, k = self.given(), self.family(), self.rng.random()
+        if self.chance(0.12):
+            g, f = (self.marked(x) if self.chance(0.8) else x for x in (g, f))
+        elif self.chance(0.06):
+            kind = int(self.rng.integers(2))
+            g, f = self.other(kind), self.other(kind)
+        if k < 0.88 and not 0.5 <= k < 0.62 and self.chance(0.1):
+            f = f"{self.one(PARTICLES)} {f}"
         if k < 0.5:
             s = f"{g} {f}"
         elif k < 0.62:

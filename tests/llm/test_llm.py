@@ -328,6 +328,16 @@ def test_pieces():
     assert "Ask Dr. [NAME] or write to mailto:[EMAIL] before noon." in clean
 
 
+def test_names_of_many_scripts():
+    for text, name in (
+        ("freeze_after_days\n担当者はStefan Quilholt-Tarthorne、連絡先はそちらです。", "Stefan Quilholt-Tarthorne"), ("担当はIlse Vandermannさんです。", "Ilse Vandermann"),
+        ("Signed, Łukasz Śliwiński", "Łukasz Śliwiński"), ("Signed, Иван Петров", "Иван Петров"), ("Signed, Γιώργος Παπάς", "Γιώργος Παπάς"),
+        ("Ask Anna van der Berg for the key.", "Anna van der Berg"), ("# owner: Ludwig von Hagen", "Ludwig von Hagen"),
+    ):
+        assert [(k, text[a:b]) for a, b, k in pii.finder().find([text])[0]] == [("name", name)]
+    assert pii.finder().find(["Starten Sie den Knoten lm-ovr neu. Ändern Sie heartbeat_secs."]) == [[]]
+
+
 def test_long_stretches_are_cut_and_reconciled():
     s = "x" * 500
     w = pii.cut(s)
