@@ -215,9 +215,13 @@ def similar_pairs(
     similarities themselves are exact.  Empty tables and tables with one vector give no rows.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
-    hashed = _each_batch(source, dim, _hashes, "id bigint, h1 bigint, h2 bigint").distinct()
+    hashed = _each_batch(source, dim, _hashes, "id bigint, h1 bigint, h2 bigint").groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("times"))
     groups = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    members = materialize(hashed.join(groups, ["h1", "h2"]).select("id", "rep", "n"), "members")
+    members = materialize(hashed.join(groups, ["h1", "h2"]).select("id", "rep", "n", "times"), "members")
+    repeated = members.filter("times > 1").select("id").distinct()
+    if not repeated.isEmpty():  # equal rows of one id become one, pre-aggregated by the scan
+        again = bounded_broadcast(repeated, SMALL)
+        source = source.join(again, "id", "left_anti").unionByName(source.join(again, "id", "left_semi").distinct())
     copies = members.filter("n > 1")
     others_than_first = copies.filter("id <> rep").select("id")
     unique = source.join(bounded_broadcast(others_than_first, SMALL), "id", "left_anti")

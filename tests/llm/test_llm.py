@@ -42,6 +42,15 @@ def test_similar_pairs_equal_brute_force(spark):
     assert (1000, 1001) in copies and (1029, 1000) in copies and len(copies) == 30 * 5
 
 
+def test_similar_pairs_of_repeated_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [1.0, float(x), float(y), 0.0]) for i, (x, y) in enumerate(rng.normal(size=(60, 2)))]
+    df = spark.createDataFrame(rows * 12, "id bigint, embedding array<float>")
+    got = {(r["a"], r["b"]) for r in neighbours.similar_pairs(df, dim=4, k=10, least=0.5).collect()}
+    want = brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 10, 0.5)
+    assert len(got & want) >= 0.99 * len(want) and len(got) <= len(rows) * 10
+
+
 def test_similar_pairs_of_little(spark):
     schema = "id bigint, embedding array<float>"
     assert neighbours.similar_pairs(spark.createDataFrame([], schema), dim=4).count() == 0
