@@ -1,7 +1,8 @@
 """Layered proximity graphs: one graph per shard, searched shard by shard and merged.
 
 A shard is a bounded slice of the table, so that a graph fits in a task; every shard is searched for
-every query and the nearest rows overall win.  Inserts and deletes rebuild the shards they touch.
+every query and the nearest rows overall win.  There is no insert, delete or repair, and the filtered
+scan of Graph.search is not reached by search().
 """
 
 from __future__ import annotations
