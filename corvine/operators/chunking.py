@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,31 +13,29 @@ from pyspark.sql import functions as F
 
 from corvine.functions.docs import anchor_slug, document_key
 
-SECTION = re.compile(r"^(#{2,3})\s+(.+)$")
 SPACE = " \t\n\r\f\v"
+# a fence line, a section heading with its level and text, or a first-level heading
+MARK = re.compile(r"^(?:(?P<fence>[ \t]*```)|(?P<level>#{2,3})[^\S\n]+(?P<text>[^\n]+)|(?P<top>#)[^\S\n])[^\n]*", re.M)
 
 
 def split_chunks(body: str) -> list[tuple[str, int, str]]:
-    """(heading, level, content) at second and third level headings outside fences; empty sections disappear."""
-    out: list[tuple[str, int, str]] = []
-    heading, level, fence, held = "", 0, False, []
-
-    def flush() -> None:
-        content = "\n".join(held).strip(SPACE)
-        if content:
-            out.append((heading, level, content))
-
-    for line in body.split("\n"):
-        if line.lstrip(" \t").startswith("```"):
-            fence = not fence
-            held.append(line)
-        elif not fence and (m := SECTION.match(line)):
-            flush()
-            heading, level, held = m[2].strip(SPACE), len(m[1]), []
-        elif not (not fence and heading == "" and re.match(r"#\s", line)):
-            held.append(line)
-    flush()
-    return out
+    """(heading, level, content) at second and third level headings outside fences; empty sections disappear.
+
+    All marked lines are found in one scan; the parity of the fences before a mark says whether it
+    counts, and sections are slices between the headings that do.  First-level headings of the part
+    without heading are left out of its slice.
+    """
+    marks = list(MARK.finditer(body))
+    ticks = np.array([m["fence"] is not None for m in marks], int)
+    outside = (np.cumsum(ticks) % 2 == 0) & (ticks == 0)
+    heads = [m for m, ok in zip(marks, outside) if ok and m["level"]]
+    first = heads[0].start() if heads else len(body)
+    tops = [m.span() for m, ok in zip(marks, outside) if ok and m["top"] and m.start() < first]
+    edges = [0, *(x for span in tops for x in span), first]
+    parts = [("", 0, "".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])))]
+    ends = [m.start() for m in heads[1:]] + [len(body)]
+    parts += [(m["text"], len(m["level"]), body[m.end() : end]) for m, end in zip(heads, ends)]
+    return [(heading.strip(SPACE), level, content.strip(SPACE)) for heading, level, content in parts if content.strip(SPACE)]
 
 
 def chunk_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

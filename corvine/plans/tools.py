@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -92,43 +96,68 @@ def docsets(documents: DataFrame, product: str | None = None, manuals: bool = Fa
     return nested.orderBy("product")
 
 
-def line_diff(old: str, new: str, context: int = DIFF_CONTEXT, limit: int = DIFF_LINES) -> str:
-    """Changed lines with - and +, ``context`` lines around them, runs left out as '@@ n unchanged line(s) @@'.
-
-    Only the first ``limit`` lines of either text are compared; no change gives ''.
-    """
-    a, b = old.split("\n")[:limit], new.split("\n")[:limit]
-    rest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in reversed(range(len(a))):
-        for j in reversed(range(len(b))):
-            rest[i][j] = rest[i + 1][j + 1] + 1 if a[i] == b[j] else max(rest[i + 1][j], rest[i][j + 1])
-    steps: list[tuple[str, str]] = []
-    i = j = 0
+# Fixed value: stands for the lines of a section beyond DIFF_LINES.
+TRUNCATED = "[section truncated for diff]"
+
+
+def _frontiers(a: list[str], b: list[str]) -> list[dict[int, int]]:
+    """Per number of edits d the least place in a, by diagonal, from which the ends are d edits away (greedy, from the ends)."""
+    out: list[dict[int, int]] = []
+    for d in range(len(a) + len(b) + 1):
+        row: dict[int, int] = {}
+        for k in range(-d, d + 1, 2):  # diagonal: place in a less place in b, seen from the ends
+            if not d:
+                x = 0
+            else:
+                x = max(out[-1].get(k - 1, -2) + 1, out[-1].get(k + 1, -2))
+            y = x - k
+            if x < 0 or y < 0 or x > len(a) or y > len(b):
+                continue
+            while x < len(a) and y < len(b) and a[-1 - x] == b[-1 - y]:
+                x, y = x + 1, y + 1
+            row[k] = x
+        out.append(row)
+        if row.get(len(a) - len(b)) == len(a):
+            return out
+    return out
+
+
+def _edits(a: list[str], b: list[str]) -> Iterator[str]:
+    """Signed lines of a shortest edit: common lines as early as they come, removals before additions."""
+    fronts = _frontiers(a, b)
+    left, i, j = len(fronts) - 1, 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i] == b[j]:
-            steps.append((" ", a[i]))
+            yield " " + a[i]
             i, j = i + 1, j + 1
-        elif i < len(a) and (j == len(b) or rest[i + 1][j] >= rest[i][j + 1]):
-            steps.append(("-", a[i]))
+            continue
+        left -= 1
+        rest = len(a) - i - 1
+        # after removing a line the end is left edits away if the frontier of its diagonal reaches it
+        if i < len(a) and fronts[left].get(rest - (len(b) - j), -1) >= rest:
+            yield "-" + a[i]
             i += 1
         else:
-            steps.append(("+", b[j]))
+            yield "+" + b[j]
             j += 1
-    changed = [k for k, s in enumerate(steps) if s[0] != " "]
-    if not changed:
+
+
+def line_diff(old: str, new: str, context: int = DIFF_CONTEXT, limit: int = DIFF_LINES) -> str:
+    """Changed lines with - and +, ``context`` lines around them, runs left out as '@@ n unchanged line(s) @@'.
+
+    A text of more than ``limit`` lines is compared by its first ones and TRUNCATED as its last line, so
+    a change of size alone shows too; no change gives ''.
+    """
+    a, b = (lines if len(lines) <= limit else [*lines[:limit], TRUNCATED] for lines in (old.split("\n"), new.split("\n")))
+    lines = list(_edits(a, b))
+    changed = np.array([s[0] != " " for s in lines])
+    if not changed.any():
         return ""
-    keep = {x for k in changed for x in range(max(0, k - context), min(len(steps), k + context + 1))}
-    out, skipped = [], 0
-    for k, (sign, line) in enumerate(steps):
-        if k in keep:
-            if skipped:
-                out.append(f"@@ {skipped} unchanged line(s) @@")
-            skipped = 0
-            out.append(sign + line)
-        else:
-            skipped += 1
-    if skipped:
-        out.append(f"@@ {skipped} unchanged line(s) @@")
+    shown = np.convolve(changed, np.ones(2 * context + 1), mode="full")[context : context + len(lines)] > 0
+    out: list[str] = []
+    for seen, run in groupby(zip(shown, lines), key=lambda x: x[0]):
+        run = [line for _, line in run]
+        out += run if seen else [f"@@ {len(run)} unchanged line(s) @@"]
     return "\n".join(out)
 
 

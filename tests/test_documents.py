@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvine.functions import analyzers, docs
@@ -35,6 +37,13 @@ def test_versions_and_urls(spark):
 
 
 def test_query_text():
+    cases = {
+        "what does max_mem_usage_mb do": ["max_mem_usage_mb"], "set limits.conf maxKBps": ["limits.conf"], "props.conf TRANSFORMS-null stanza": ["props.conf", "TRANSFORMS-null"],
+        "index::main filtering": ["index::main"], "/services/data/indexes endpoint": ["/services/data/indexes"], "how do I use tstats and stats": ["tstats", "stats"],
+        "how does indexer clustering work": [], "": [], "source::/var/log Eval LOOKUP where _1x": ["source::/var/log", "Eval", "LOOKUP", "where", "_1x"],
+        "SSL-0001 AB-1 a-b .x / x. _ well-known": ["SSL-0001"],
+    }
+    assert {q: docs.identifier_tokens(q) for q in cases} == cases
     assert docs.identifier_tokens('find "props.conf" _time sourcetype::x, | tstats TSTATS /opt/x ERR-12_a plain') == ["props.conf", "_time", "sourcetype::x", "tstats", "/opt/x", "ERR-12_a"]
     assert docs.or_query("a b") == "a OR b" and docs.or_query("a") == "a"
     assert docs.merge_filters(" b ", ["a", "", "b"]) == ["a", "b"]
@@ -58,6 +67,24 @@ def test_diff():
     assert tools.line_diff(old, new) == "@@ 2 unchanged line(s) @@\n c\n d\n-e\n+E\n f\n g"
     assert tools.line_diff(old, old) == ""
     assert tools.line_diff("x\n" * 401 + "a", "x\n" * 401 + "b") == ""
+    assert tools.line_diff("x\n" * 399 + "x", "x\n" * 401 + "b") == "@@ 398 unchanged line(s) @@\n x\n x\n+[section truncated for diff]"
+    assert tools.line_diff("alpha\nbeta\ngamma\n", "alpha\ndelta\ngamma\n", 1) == " alpha\n-beta\n+delta\n gamma\n@@ 1 unchanged line(s) @@"
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
+def test_line_diff_is_shortest(old, new):
+    """Applying the edit gives the new text, and no common subsequence is longer than the kept lines."""
+    got = tools.line_diff("\n".join(old), "\n".join(new), context=50).split("\n")
+    old, new = (x or [""] for x in (old, new))
+    if old == new:
+        assert got == [""]
+        return
+    assert [s[1:] for s in got if s[0] != "+"] == old and [s[1:] for s in got if s[0] != "-"] == new
+    best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+    for i, x in enumerate(old):
+        for j, y in enumerate(new):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert sum(s[0] == " " for s in got) == best[-1][-1]
 
 
 def test_upserts(spark):
