@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\w[^>]*>|<(script|style)\b.*?(?:</\1\s*>|$)"
@@ -39,15 +40,17 @@ class Element:
     """Running number of the innermost list, table, row or other container."""
     boxes: tuple[int, ...] = ()
     """Running numbers of all open containers, outermost first."""
+    frames: tuple[str, ...] = ()
+    """Tags of those containers."""
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: list[str] = field(default_factory=list)
 
-    @property
+    @cached_property
     def raw(self) -> str:
         return "".join(self.parts)
 
-    @property
+    @cached_property
     def text(self) -> str:
         return " ".join(self.raw.split())
 
@@ -65,8 +68,12 @@ def read(source: str) -> list[Element]:
                 return e
         return None
 
-    def boxes() -> tuple[int, ...]:
-        return tuple(dict.fromkeys(g for _, _, g in stack if g))
+    def boxes() -> tuple[tuple[int, ...], tuple[str, ...]]:
+        held: dict[int, str] = {}
+        for t, _, g in stack:
+            if g:
+                held.setdefault(g, t)
+        return tuple(held), tuple(held.values())
 
     def say(text: str) -> None:
         nonlocal anchors
@@ -74,7 +81,7 @@ def read(source: str) -> list[Element]:
             return
         e = holder()
         if e is None and not numbered and text.strip():
-            e = Element("text", len(out) + 1, "/".join(t for t, _, _ in stack) or "text", groups, boxes())
+            e = Element("text", len(out) + 1, "/".join(t for t, _, _ in stack) or "text", groups, *boxes())
             out.append(e)
         if e is not None:
             text = html.unescape(text) if "&" in text else text
@@ -115,14 +122,14 @@ def read(source: str) -> list[Element]:
         element = None
         if number or (not numbered and tag in BLOCKS and tag not in FENCES):
             path = "/".join(t for t, _, _ in stack)
-            element = Element(tag, int(number[1]) if number else len(out) + 1, f"{path}/{tag}" if path else tag, stack[-1][2] if stack else 0, boxes())
+            element = Element(tag, int(number[1]) if number else len(out) + 1, f"{path}/{tag}" if path else tag, stack[-1][2] if stack else 0, *boxes())
             out.append(element)
         if tag == "a":
             anchors += 1
             link = HREF.search(m[4] or "")
             if (e := element or holder()) is not None and link:
                 e.links.append(link[1] or link[2] or link[3] or "")
-        if tag in BLOCKS and tag not in ("p", "li", "td", "th", "pre") or tag in FENCES:
+        if tag in BLOCKS and tag not in ("p", "li", "pre") or tag in FENCES:
             groups += 1
             stack.append((tag, element, groups))
         else:

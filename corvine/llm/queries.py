@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = main_content(table(spark, sf_dir, "page_content"))
+    pages = materialize(main_content(table(spark, sf_dir, "page_content"), texts=False), "bodies")
     field = lambda name, places: F.explode(F.transform(places, lambda p: F.struct(F.lit(name).alias("field_name"), p.alias("pos"))))
     body = pages.select("page_id", field("content_html", "body_nodes").alias("x"))
     trail = pages.select("page_id", field("breadcrumbs", "trail_places").alias("x"))

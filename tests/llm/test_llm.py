@@ -70,37 +70,75 @@ PAGE = """<div><p data-node="1">We use cookies to keep the session alive.</p><bu
 def test_main_body():
     e = htmltree.read(PAGE)
     assert [x.number for x in e] == list(range(1, 16)) and e[10].text == "a = 1 < 2"
-    assert [x.number for x in mainbody.body_elements(e)] == [5, 6, 7, 11, 12, 13]
+    asked = {mainbody.text_key("Was this page helpful?"), mainbody.text_key("copyright 1999 the group.")}
+    assert [x.number for x in mainbody.body_elements(e, asked)] == [5, 6, 7, 11, 12, 13]
     assert mainbody.body_elements(htmltree.read('<ul><li data-node="1"><a href="/a">A</a></ul><p data-node="2">Loading content, please wait.</p>')) == []
     assert mainbody.trail_places(["Menu", " Quarry Core ", "", None, "Admin Guide", "Raw Events", "Tune it"], "https://h/en/quarry-core/admin-guide/9.1/raw-events/tune-it-3f", "Tune it") == [1, 4, 5, 6]
 
 
+def numbers(source):
+    return [e.number for e in mainbody.body_elements(htmltree.read(source))]
+
+
 def test_main_body_ends_at_the_dive():
     body = "".join(f'<p data-node="{n}">Paragraph {n} tells how the queue drains its events and what it keeps.</p>' for n in range(4, 10))
     foot = '<div><p data-node="10">A text at the foot of each page in a wording of its own, which no rule knows.</p></div>'
     side = '<div><p data-node="3">Words at the side about a fair in the town hall, again in no known wording.</p></div>'
-    numbers = lambda s: [e.number for e in mainbody.body_elements(htmltree.read(s))]
     assert numbers(f'<article><h1 data-node="1">Tune it</h1>{body}</article>{foot}') == [1, *range(4, 10)]
-    assert numbers(f'<div><h1 data-node="1">The site</h1></div>{side}<article><h1 data-node="2">Tune it</h1>{body}</article>{foot}') == [2, *range(4, 10)]
+    assert numbers(f'<div><h1 data-node="1">The site</h1></div>{side}<article><h1 data-node="2">Tune the queue</h1>{body}</article>{foot}') == [2, *range(4, 10)]
     assert numbers(f'<div><h1 data-node="1">Tune it</h1></div>{side}<article>{body}</article>{foot}') == [1, *range(4, 10)]
     gap = "".join(f'<button data-node="{n}">Yes</button>' for n in range(10, 14))
-    assert numbers(f'<h1 data-node="1">Tune it</h1>{body}{gap}<p data-node="14">Odds and ends</p>') == [1, *range(4, 10)]
+    assert numbers(f'<article><h1 data-node="1">Tune it</h1>{body}</article>{gap}<p data-node="14">Odds and ends</p>') == [1, *range(4, 10)]
+
+
+def test_main_body_in_other_languages():
+    """Surge and dive need no wording: a banner, menu, newsletter and imprint in German and in Polish stay out."""
+    for banner, title, one, two, news, imprint in (
+        ("Wir verwenden Cookies, um Ihre Sitzung zu speichern und Besuche zu zählen.", "Speicher einrichten", "Der Dienst verarbeitet täglich 300 Ereignisse.",
+         "Danach wird der Knoten neu gestartet.", "Unser Rundbrief bringt jede Woche einen Tipp, jederzeit abbestellbar.", "Impressum: Angaben nach Paragraf fünf, alle Rechte vorbehalten."),
+        ("Używamy plików cookie, aby zapisać sesję i policzyć wizyty na stronie.", "Konfiguracja kolejki", "Usługa przetwarza codziennie trzysta zdarzeń.",
+         "Potem węzeł jest uruchamiany ponownie.", "Nasz biuletyn przynosi co tydzień jedną wskazówkę, bez konta.", "Dane firmy: wszystkie prawa zastrzeżone przez wydawcę strony."),
+    ):
+        assert numbers(
+            f'<body><div><p data-node="1">{banner}</p><button data-node="2">OK</button></div><nav><a data-node="3" href="/">Start</a></nav><main><h1 data-node="4">{title}</h1>'
+            f'<p data-node="5">{one}</p><p data-node="6">{two}</p></main><footer><p data-node="7">{news}</p><p data-node="8">{imprint}</p></footer></body>'
+        ) == [4, 5, 6]
+
+
+def test_windows_decide_the_body(monkeypatch):
+    """With one stretch over the whole page instead of surges and dives, banner, trail and foot come in."""
+    source = (
+        '<div><p data-node="1">A banner of this site in words of its own, about files kept on a device.</p></div><div><span data-node="2">Menu</span></div>'
+        '<article><h1 data-node="3">Tune the queue</h1><p data-node="4">The queue holds 200 events.</p></article><div><p data-node="5">A line at the foot.</p></div>'
+    )
+    assert numbers(source) == [3, 4]
+    monkeypatch.setattr(mainbody, "stretches", lambda weight, gap: [(0, len(weight) - 1)])
+    assert numbers(source) == [1, 2, 3, 4, 5]
 
 
 def test_repeated_texts_count_pages_once(spark):
-    page = lambda n: f"<h1>Page {n}</h1><p>The body of page {n} is told in a sentence of its own.</p><p>The same sentence stands on each of these pages.</p>"
-    rows = [(i, "hot", page(0)) for i in range(40)] + [(100 + n, f"u{n}", page(n)) for n in range(1, 21)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, content_html string")
-    assert mainbody.repeated_texts(df) == {mainbody.text_key("The same sentence stands on each of these pages.")}
-    assert mainbody.repeated_texts(df.withColumn("url", F.lit(None).cast("string")).limit(40)) != set()
-    assert mainbody.repeated_texts(df.limit(0)) == set()
+    page = lambda n: f"<h1>Page {n}</h1><p>The body of page {chr(64 + n) * 3} is told in a sentence of its own.</p><p>The same sentence stands on each of these pages.</p>"
+    rows = [(i, "https://h/9.1/hot", page(0)) for i in range(20)] + [(50 + i, "https://h/9.2/hot", page(0)) for i in range(20)]
+    rows += [(100 + n, f"https://h/u{n}", page(n)) for n in range(1, 21)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, content_html string").withColumns({"title": F.lit("t"), "breadcrumbs": F.array(F.lit("x"))})
+
+    def found(pages):
+        lines = mainbody.parsed(pages).withColumn("row", F.monotonically_increasing_id())
+        page = F.coalesce(F.xxhash64(F.regexp_replace("url", "/9[.][12]", "")), F.col("row"))
+        return {(r["host"], r["k"]) for r in mainbody.repeated_texts(lines.select("row", F.lit("h").alias("host"), page.alias("page"), "key")).collect()}
+
+    key = mainbody.text_key("The same sentence stands on each of these pages.")
+    assert found(df) == {(None, key), ("h", key)}
+    assert found(df.limit(0)) == set()
+    bodies = {r["page_id"]: r["body_text"].split("\n")[1:] for r in mainbody.main_content(df).collect()}
+    assert bodies[101] == ["The body of page AAA is told in a sentence of its own."] and len(bodies[0]) == 1
 
 
 def test_main_body_tables(spark):
     rows = [(1, "u", "t", ["x"], PAGE, 1), (1, "u", "t", ["x"], PAGE, 1), (2, None, None, None, None, 1), (3, "u", "t", [], "", 1), (4, "u", "t", ["x"], "<p>" + LONG, 1), (5, "u", "t", None, "<<<div <p", 1)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, title string, breadcrumbs array<string>, content_html string, body_nodes int")
     got = sorted((r["page_id"], r["body_nodes"]) for r in mainbody.main_content(df).collect())
-    assert got[:2] == [(1, [5, 6, 7, 11, 12, 13])] * 2 and [p for p, _ in got] == [1, 1, 2, 3, 4, 5]
+    assert got[:2] == [(1, [5, 6, 7, 11, 12, 13, 14])] * 2 and [p for p, _ in got] == [1, 1, 2, 3, 4, 5]
     assert mainbody.main_content(df.limit(0)).count() == 0
 
 
