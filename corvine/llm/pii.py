@@ -1,10 +1,10 @@
 """Personal information in free text, found by a character tagger and replaced by placeholders (problem 10).
 
-Every piece of personal information holds a digit, a mail sign or two capitalised words side by side,
-so text around such anchors is cut into windows, long stretches into overlapping ones.  The
-bidirectional LSTM with CRF transitions tags the windows' characters; where windows overlap the one
-with more context around a character decides, and tags are joined to spans over the whole stretch.
-A form check per kind then fixes where a span begins and ends and drops spans of no known form.
+Every line of a text is cut into overlapping windows, and the bidirectional LSTM with CRF transitions
+tags all their characters.  Where windows overlap, the one with more context around a character
+decides, and tags are joined to spans over the whole line.  A span's bounds are the tagger's, set to
+word edges; a form of its kind that covers it trims them, and a span without known form stays if it
+has what its kind must have (digits, a mail sign, capitals).
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvine.llm.tagger import KINDS, tag_windows
+from corvine.llm.tagger import KINDS, Decoder, tag_windows
 
-WINDOW, STRIDE, CONTEXT = 96, 64, 30
+WINDOW, STRIDE = 160, 112
 WEIGHTS = "pii_weights.npz"
 
 
@@ -50,33 +50,8 @@ STARTS = (
     " Le La Les Un Une Des El Los Las En De Del À A"
 ).split()
 STREETS = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Drive|Dr\.?|Court|Ct\.?|Crescent|Blvd\.?|Boulevard|Way|Place|Square|Close|Terrace)(?![^\W\d_])"
-MAIL = re.compile(r"@|[\[(]at[\])]| at (?=[^\n]{1,60}? dot )")
-# each pattern begins with a character class, on which the search skips ahead
-NUMBERS = re.compile(r"[\d+(][\d ()./-]{5,}\d")
-DATED = re.compile(r"\D?(?:\d{4}-\d\d-\d\d(?:[ T]\d{1,2})?|\d{1,3}(?:\.\d{1,3}){3})\D*$")
-CODES = re.compile(r"[A-Z](?:[A-Z]? ?\d\d(?: ?\d\d){2,3}|ox \d)")
-PLACES = re.compile(rf"\d\d{{0,4}}[a-z]? (?:bis )?(?:(?:rue|avenue|chemin|boulevard|place|impasse|quai) |(?:[{UPPER}][^\W\d_]+ ){{1,3}}{STREETS})")
-ROADS = re.compile(r"(?:straße|strasse|gasse|weg|allee|platz|ring|damm|ufer|Calle|Avenida|Plaza|Paseo|Camino) (?:\d|(?<=[aeo] )[^\W\d_])")
-PAIRS = re.compile(
-    rf"[{UPPER}](?<![{CASED}\d_.].)(?:[{CASED}]+(?:[’'-][{CASED}]+)*,?|\.) (?:[{UPPER}]\. )?(?:{PARTICLES})?(?=[{UPPER}][{CASED}])"
-)
-NO_NAME = frozenset(x + " " for x in STARTS)
 SENTENCE = frozenset(STARTS)
 
-
-def anchors(text: str) -> list[tuple[int, int]]:
-    """(start, end) of what can be part of a piece, in order: one scan for each first character class."""
-    out = [m.span() for m in PAIRS.finditer(text) if m[0] not in NO_NAME]
-    if "@" in text or "(at)" in text or "[at]" in text or " dot " in text:
-        out += [m.span() for m in MAIL.finditer(text)]
-    out += [m.span() for m in NUMBERS.finditer(text) if not DATED.match(m[0])]
-    out += [m.span() for m in CODES.finditer(text)]
-    out += [m.span() for m in PLACES.finditer(text)]
-    out += [m.span() for m in ROADS.finditer(text)]
-    out.sort()
-    return out
-
-
 DOT, AT = r"(?:\.| ?[\[(]dot[\])] ?| dot )", r"(?:@| ?[\[(]at[\])] ?| at )"
 FORMS = {
     "email": re.compile(rf"(?<![A-Za-z0-9_.+-])[A-Za-z0-9](?:[A-Za-z0-9_.+%-]*[A-Za-z0-9_+])?{AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
@@ -107,29 +82,9 @@ def weights(path: str | None = None) -> dict[str, np.ndarray]:
         return {k: v.astype(np.float32) for k, v in np.load(f).items()}
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the text around anchors, merged where they touch, within their line."""
-    out: list[list[int]] = []
-    for start, stop in anchors(text):
-        line = text.rfind("\n", 0, start) + 1
-        end = text.find("\n", stop)
-        a, b = max(line, start - CONTEXT), min(len(text) if end < 0 else end, stop + CONTEXT)
-        if out and a <= out[-1][1] and line <= out[-1][1] - 1:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    # no cut through a word
-    for s in out:
-        while s[0] > 0 and text[s[0] - 1].isalnum():
-            s[0] -= 1
-        while s[1] < len(text) and text[s[1]].isalnum():
-            s[1] += 1
-    return [(a, b) for a, b in out]
-
-
-def cut(stretch: str) -> list[tuple[int, int]]:
-    """Overlapping windows over a stretch."""
-    n = len(stretch)
+def cut(line: str) -> list[tuple[int, int]]:
+    """Overlapping windows over a line."""
+    n = len(line)
     if n <= WINDOW:
         return [(0, n)]
     starts = [*range(0, n - WINDOW, STRIDE), n - WINDOW]
@@ -170,39 +125,75 @@ def _shouted(stretch: str, m: re.Match) -> bool:
     return "," in m[0] or any(len(w) > 2 and w.isupper() for w in around)
 
 
-def checked(stretch: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans of a known form, with the form's exact bounds."""
+CALENDAR = re.compile(r"(?:19|20)\d\d([-/.])\d\d?\1\d\d?|\d\d?([-/.])\d\d?\2(?:19|20)\d\d")
+DECIMAL = re.compile(r"\d\.\d")
+
+
+def plausible(kind: str, piece: str) -> bool:
+    """Whether a piece has what its kind must have; no date is a number of a person, no decimal a house."""
+    digits = sum(c.isdigit() for c in piece)
+    if kind in ("phone", "idnum") and CALENDAR.fullmatch(piece):
+        return False
+    if kind == "name":
+        words = [w for w in re.split(r"[\s,.’'-]+", piece) if w]
+        cased = [w for w in words if w[0].isupper()]
+        han = all(w[0].isalpha() and not w[0].isupper() and not w[0].islower() for w in words)
+        return not digits and bool(words) and len(piece) <= 60 and (len(cased) >= 2 or (han and 2 <= sum(map(len, words)) <= 8)) and not SENTENCE.issuperset(cased)
+    if kind == "email":
+        return bool(re.search(rf"{AT}[^\W_].*(?:\.|dot)", piece))
+    if kind == "phone":
+        return 7 <= digits <= 17 and not re.search(r"[^\d\s+()./x-]", re.sub(r"ext\.?", "x", piece))
+    if kind == "idnum":
+        return 6 <= digits and len(piece) <= 40 and not re.search(r"[^A-Za-z0-9 ./-]|[a-z]{2}", piece)
+    return digits > 0 and sum(c.isalpha() for c in piece) >= 4 and len(piece) >= 8 and not DECIMAL.search(piece)
+
+
+def bounds(line: str, a: int, b: int, kind: str) -> tuple[int, int]:
+    """The tagger's bounds set to word edges, without titles and outer signs."""
+    word = lambda k: 0 <= k < len(line) and line[k].isalnum() and (line[k].isascii() or line[k].isupper() or line[k].islower())
+    cased = lambda k: 0 <= k < len(line) and (line[k].isupper() or line[k].islower())
+    joined = cased if kind == "name" else word
+    if a < b and joined(a):
+        while joined(a - 1) or (kind == "name" and a > 1 and line[a - 1] in "'’-" and cased(a - 2)):
+            a -= 1
+    if a < b and joined(b - 1):
+        while joined(b) or (kind == "name" and b + 1 < len(line) and line[b] in "'’-" and cased(b + 1)):
+            b += 1
+    while a < b and not (line[a].isalnum() or (kind == "phone" and line[a] in "+(")):
+        a += 1
+    while a < b and not (line[b - 1].isalnum() or (kind == "name" and line[b - 1] == "." and b - a > 1 and line[b - 2].isupper())):
+        b -= 1
+    if kind == "name" and (t := TITLE.match(line, a, b)):
+        a = t.end()
+    if kind == "email" and line[a : a + 7].lower() == "mailto:":
+        a += 7
+    return a, b
+
+
+def checked(line: str, spans: list[tuple[int, int, str]], forms: dict[str, re.Pattern] = FORMS) -> list[tuple[int, int, str]]:
+    """Spans with their final bounds; forms: pattern per kind that trims a span it covers for the most part."""
     out: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
-        if b - a < 3:
-            continue
-        form = FORMS[kind]
-        if kind == "name":
-            while a > 0 and (stretch[a - 1].isalpha() or (stretch[a - 1] in "'’-" and a > 1 and stretch[a - 2].isalpha())) and stretch[a].isalnum():
-                if stretch[a].isupper() and not (stretch[a - 1].isupper() or stretch[a - 1].islower() or stretch[a - 1] in "'’-"):
-                    break
-                a -= 1
-            while a < b and not stretch[a].isalpha():
-                a += 1
-            if t := TITLE.match(stretch, a, b):
-                a = t.end()
-            m = form.match(stretch, a)
-            if m and m.end() - a >= 0.5 * (b - a) and len(m[0]) >= 4 and " " in m[0] and not _shouted(stretch, m) and not SENTENCE.issuperset(m[0].split()):
-                out.append((a, m.end(), kind))
+        a, b = bounds(line, a, b, kind)
+        if b - a < 2:
             continue
         best = None
-        for m in form.finditer(stretch, max(0, a - 40), min(len(stretch), b + 40)):
-            shared = min(b, m.end()) - max(a, m.start())
-            if shared > 0 and (best is None or shared > best[0]):
-                best = (shared, m)
-        if best is None or best[0] < 0.4 * min(b - a, len(best[1][0])):
-            continue
-        m = best[1]
-        s, e = m.start(), m.end()
-        digits = sum(c.isdigit() for c in m[0])
-        if kind == "phone" and not 7 <= digits <= 17:
+        if form := forms.get(kind):
+            starts = [form.match(line, a)] if kind == "name" else form.finditer(line, max(0, a - 40), min(len(line), b + 40))
+            for m in starts:
+                if m and (shared := min(b, m.end()) - max(a, m.start())) > 0 and (best is None or shared > best[0]):
+                    best = shared, m
+            if best and best[0] < 0.6 * max(b - a, len(best[1][0])):
+                best = None
+        if best:
+            a, b = best[1].span()
+        piece = line[a:b]
+        if kind == "phone" and (form := forms.get("idnum")) and form.fullmatch(piece):
+            kind = "idnum"  # grouped as no phone number is
+        if kind == "name" and best and (_shouted(line, best[1]) or SENTENCE.issuperset(piece.split())):
             continue
-        out.append((s, e, kind))
+        if plausible(kind, piece + line[b : b + 2] if kind == "address" else piece):
+            out.append((a, b, kind))
     order = {k: n for n, k in enumerate(("email", "address", "idnum", "phone", "name"))}
     kept: list[tuple[int, int, str]] = []
     for s in sorted(set(out), key=lambda s: (order[s[2]], s[0] - s[1])):
@@ -212,32 +203,35 @@ def checked(stretch: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 class Finder:
-    """Finds pieces in many texts at once; equal windows are tagged once, up to ``cache`` of them kept."""
+    """Finds pieces in many texts at once; equal lines are tagged once, up to ``cache`` of them kept."""
 
-    def __init__(self, path: str | None = None, cache: int = 60_000):
-        self.p, self.known, self.limit = weights(path), {}, cache
+    def __init__(self, path: str | None = None, cache: int = 200_000, forms: dict[str, re.Pattern] = FORMS):
+        self.decoder, self.known, self.limit, self.forms = Decoder(weights(path)), {}, cache, forms
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        plan = []
-        for k, text in enumerate(texts):
-            for a, b in stretches(text) if text else ():
-                plan.append((k, a, text[a:b]))
-        fresh = list({s for _, _, s in plan if s not in self.known})
-        parts = [(s, w) for s in fresh for w in cut(s)]
-        tags = tag_windows(self.p, [s[a:b] for s, (a, b) in parts])
+        lines = [t.split("\n") if t else [] for t in texts]
+        fresh = list(dict.fromkeys(x for ls in lines for x in ls if x not in self.known and not x.isspace()))
+        parts = [(x, w) for x in fresh if x for w in cut(x)]
         by: dict[str, tuple[list, list]] = {}
-        for (s, w), t in zip(parts, tags):
-            ws, ts = by.setdefault(s, ([], []))
+        for (x, w), t in zip(parts, tag_windows(self.decoder, [x[a:b] for x, (a, b) in parts])):
+            ws, ts = by.setdefault(x, ([], []))
             ws.append(w)
             ts.append(t)
-        new = {s: checked(s, decoded_spans(reconcile(len(s), *by[s]))) for s in fresh}
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for k, at, s in plan:
-            out[k] += [(at + a, at + b, kind) for a, b, kind in (new[s] if s in new else self.known[s])]
-        if len(self.known) + len(new) > self.limit:
+        new = {}
+        for x, (ws, ts) in by.items():
+            if any(t.any() for t in ts) and (found := checked(x, decoded_spans(reconcile(len(x), ws, ts)), self.forms)):
+                new[x] = found
+        out: list[list[tuple[int, int, str]]] = []
+        for ls in lines:
+            at, own = 0, []
+            for x in ls:
+                own += [(at + a, at + b, kind) for a, b, kind in new.get(x) or self.known.get(x) or ()]
+                at += len(x) + 1
+            out.append(own)
+        if len(self.known) + len(fresh) > self.limit:
             self.known.clear()
-        if len(new) <= self.limit:
-            self.known |= new
+        if len(fresh) <= self.limit:
+            self.known.update((x, new.get(x)) for x in fresh)
         return out
 
 

@@ -122,15 +122,71 @@ def viterbi(p: dict, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     return [path[r, : lengths[r]] for r in range(n)]
 
 
-def tag_windows(p: dict, windows: list[str], batch: int = 384) -> list[np.ndarray]:
+class Decoder:
+    """The parameters laid out for decoding: features by rows, so that a step works on whole blocks of windows."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        hidden = p["U"].shape[1]
+        half = np.where(np.arange(4 * hidden) < 3 * hidden, 0.5, 1.0).astype(np.float32)[:, None]  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+        self.P = [np.ascontiguousarray(x.T * half) for x in p["P"]]
+        self.U = [np.ascontiguousarray(x.T * half) for x in p["U"]]
+        self.W = [np.ascontiguousarray(x.T) for x in (p["W"][:hidden], p["W"][hidden:])]
+        self.b, self.T, self.S, self.hidden = p["b"], p["T"], p["S"], hidden
+        # what a tag can gain over O by its transitions, in and out, besides its emission
+        gain = np.maximum(self.T - self.T[0, 0], 0)
+        self.bound = float(max(gain.max(), (self.S - self.S[0]).max()) + gain.max())
+
+    def direction(self, d: int, x: np.ndarray) -> np.ndarray:
+        """Emissions (L, tags, n) of one direction for classes x (L, n)."""
+        L, n = x.shape
+        k = self.hidden
+        h, c = np.zeros((k, n), np.float32), np.zeros((k, n), np.float32)
+        g, q, top = (np.empty((r * k, n), np.float32) for r in (4, 4, 1))
+        out = np.empty((L, len(TAGS), n), np.float32)
+        gates = g[: 3 * k]
+        for t in range(L):
+            np.matmul(self.U[d], h, out=g)
+            np.take(self.P[d], x[t], axis=1, out=q, mode="clip")
+            g += q
+            np.tanh(g, out=g)
+            gates += 1
+            gates *= 0.5
+            c *= g[k : 2 * k]
+            np.multiply(g[:k], g[3 * k :], out=top)
+            c += top
+            np.tanh(c, out=top)
+            np.multiply(g[2 * k : 3 * k], top, out=h)
+            np.matmul(self.W[d], h, out=out[t])
+        return out
+
+    def tags(self, windows: list[str]) -> list[np.ndarray]:
+        """Best tag sequence of each window; Viterbi runs only over those in which a tag can beat O anywhere."""
+        x, lengths = encode(windows)
+        e = self.direction(0, np.ascontiguousarray(x.T)) + self.b[:, None]
+        back = self.direction(1, np.ascontiguousarray(_reverse(x, lengths).T))
+        at = np.arange(x.shape[1])[:, None]
+        live = at < lengths[None, :]
+        e += back[np.where(live, lengths[None, :] - 1 - at, at)[:, None, :], np.arange(len(TAGS))[None, :, None], np.arange(len(windows))[None, None, :]]
+        over = np.where(live, e[:, 1:].max(axis=1) - e[:, 0], -np.inf).max(axis=0) + self.bound
+        out = [np.zeros(n, np.int8) for n in lengths]
+        some = np.flatnonzero(over > 0)
+        if len(some):
+            e = np.ascontiguousarray(e[:, :, some].transpose(2, 0, 1))
+            for k, path in zip(some, viterbi({"S": self.S, "T": self.T}, e, lengths[some])):
+                out[k] = path
+        return out
+
+
+def tag_windows(p: dict[str, np.ndarray] | Decoder, windows: list[str], batch: int = 512) -> list[np.ndarray]:
     """Tags of each window; windows of like length are decoded together."""
+    decoder = p if isinstance(p, Decoder) else Decoder(p)
     order = sorted(range(len(windows)), key=lambda k: len(windows[k]))
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(windows)
     for at in range(0, len(order), batch):
         part = order[at : at + batch]
-        e, lengths = emissions(p, [windows[k] for k in part])
-        for k, tags in zip(part, viterbi(p, e, lengths)):
-            out[k] = tags
+        if windows[part[-1]]:
+            for k, tags in zip(part, decoder.tags([windows[k] for k in part])):
+                out[k] = tags
     return out
 
 
@@ -143,24 +199,29 @@ def loss_and_gradients(p: dict, x: np.ndarray, lengths: np.ndarray, gold: np.nda
     T, S = p["T"].astype(np.float64), p["S"].astype(np.float64)
     live = np.arange(L)[None, :] < lengths[:, None]
 
-    def lse(a: np.ndarray, axis: int) -> np.ndarray:
-        m = a.max(axis=axis, keepdims=True)
-        return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
+    eT = np.exp(T)
+
+    def lse(a: np.ndarray) -> np.ndarray:
+        m = a.max(axis=1, keepdims=True)
+        return m[:, 0] + np.log(np.exp(a - m).sum(axis=1))
+
+    def moved(a: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Log of exp(a) @ table by rows."""
+        m = a.max(axis=1, keepdims=True)
+        return m + np.log(np.exp(a - m) @ table)
 
     alpha = np.zeros((L, n, k))
     alpha[0] = S + e[:, 0]
     for t in range(1, L):
-        a = lse(alpha[t - 1][:, :, None] + T[None], 1) + e[:, t]
-        alpha[t] = np.where(live[:, t, None], a, alpha[t - 1])
-    logz = lse(alpha[-1], 1)
+        alpha[t] = np.where(live[:, t, None], moved(alpha[t - 1], eT) + e[:, t], alpha[t - 1])
+    logz = lse(alpha[-1])
     beta = np.zeros((L, n, k))
     gT, rows = np.zeros_like(T), np.arange(n)
     for t in range(L - 2, -1, -1):
         nxt = e[:, t + 1] + beta[t + 1]
-        step = T[None] + nxt[:, None, :]
-        beta[t] = np.where(live[:, t + 1, None], lse(step, 2), 0.0)
-        pair = np.exp(alpha[t][:, :, None] + step - logz[:, None, None]) * live[:, t + 1, None, None]
-        gT += pair.sum(axis=0)
+        beta[t] = np.where(live[:, t + 1, None], moved(nxt, eT.T), 0.0)
+        top = alpha[t].max(axis=1, keepdims=True)
+        gT += (np.exp(alpha[t] - top).T @ (np.exp(nxt + top - logz[:, None]) * live[:, t + 1, None])) * eT
         np.add.at(gT, (gold[:, t], gold[:, t + 1]), -live[:, t + 1].astype(float))
     marginal = np.exp(alpha.transpose(1, 0, 2) + beta.transpose(1, 0, 2) - logz[:, None, None]) * live[:, :, None]
     score = S[gold[:, 0]] + (e[rows[:, None], np.arange(L)[None, :], gold] * live).sum(axis=1)
@@ -171,7 +232,8 @@ def loss_and_gradients(p: dict, x: np.ndarray, lengths: np.ndarray, gold: np.nda
     grads = {"S": ge[:, 0].sum(axis=0), "T": (gT / n).astype(np.float32), "b": ge.sum(axis=(0, 1)), "W": np.einsum("nlh,nlk->hk", h, ge)}
     gh = ge @ p["W"].T
     dirs = np.stack([gh[:, :, :hidden], _reverse(gh[:, :, hidden:], lengths)])
-    gP, gU = np.zeros_like(p["P"]), np.zeros_like(p["U"])
+    gU = np.zeros_like(p["U"])
+    into = np.empty((L, 2, n, 4 * hidden), np.float32)
     dh = np.zeros((2, n, hidden), np.float32)
     dc = np.zeros_like(dh)
     ut = p["U"].transpose(0, 2, 1)
@@ -182,10 +244,12 @@ def loss_and_gradients(p: dict, x: np.ndarray, lengths: np.ndarray, gold: np.nda
         dc = dc + dh * o * (1 - tc * tc)
         d = np.concatenate([dc * z * i * (1 - i), dc * before_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - z * z)], axis=2)
         gU += np.matmul(before_h.transpose(0, 2, 1), d)
-        for q in range(2):
-            np.add.at(gP[q], both[q, :, t], d[q])
+        into[t] = d
         dh = np.matmul(d, ut)
         dc = dc * f
+    # one row of the table per class: sums by a product with the classes as unit vectors
+    unit = np.eye(VOCABULARY, dtype=np.float32)
+    gP = np.stack([unit[both[q].T.ravel()].T @ into[:, q].reshape(L * n, 4 * hidden) for q in range(2)])
     grads |= {"P": gP, "U": gU}
     return float((logz - score).mean()), grads
 
@@ -208,9 +272,9 @@ class Adam:
             p[k] -= (rate * mh / (np.sqrt(vh) + 1e-8)).astype(p[k].dtype)
 
 
-def fit(sample, steps: int, batch: int = 96, rate: float = 8e-3, seed: int = 5, say=None) -> dict[str, np.ndarray]:
+def fit(sample, steps: int, batch: int = 96, rate: float = 8e-3, seed: int = 5, start=None, say=None) -> dict[str, np.ndarray]:
     """Train on ``sample(n)``, which gives n pairs of window and tag array."""
-    p = fresh(seed)
+    p = start or fresh(seed)
     adam = Adam(p, rate)
     for k in range(steps):
         rows = sample(batch)
