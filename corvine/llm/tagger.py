@@ -132,19 +132,20 @@ class Decoder:
         self.U = [np.ascontiguousarray(x.T * half) for x in p["U"]]
         self.W = [np.ascontiguousarray(x.T) for x in (p["W"][:hidden], p["W"][hidden:])]
         self.b, self.T, self.S, self.hidden = p["b"], p["T"], p["S"], hidden
-        # what a tag can gain over O by its transitions, in and out, besides its emission
-        gain = np.maximum(self.T - self.T[0, 0], 0)
-        self.bound = float(max(gain.max(), (self.S - self.S[0]).max()) + gain.max())
 
-    def direction(self, d: int, x: np.ndarray) -> np.ndarray:
-        """Emissions (L, tags, n) of one direction for classes x (L, n)."""
+    def direction(self, d: int, x: np.ndarray, lengths: np.ndarray, e: np.ndarray) -> None:
+        """Adds one direction's emissions for classes x (L, n) to e (L, tags, n); windows are sorted by length.
+
+        The backward direction starts each window's state at its own end: what lies beyond is set to 0.
+        """
         L, n = x.shape
         k = self.hidden
         h, c = np.zeros((k, n), np.float32), np.zeros((k, n), np.float32)
         g, q, top = (np.empty((r * k, n), np.float32) for r in (4, 4, 1))
-        out = np.empty((L, len(TAGS), n), np.float32)
+        out = np.empty((len(TAGS), n), np.float32)
         gates = g[: 3 * k]
-        for t in range(L):
+        ended = np.searchsorted(lengths, np.arange(L), side="right")
+        for t in range(L) if d == 0 else range(L - 1, -1, -1):
             np.matmul(self.U[d], h, out=g)
             np.take(self.P[d], x[t], axis=1, out=q, mode="clip")
             g += q
@@ -156,20 +157,37 @@ class Decoder:
             c += top
             np.tanh(c, out=top)
             np.multiply(g[2 * k : 3 * k], top, out=h)
-            np.matmul(self.W[d], h, out=out[t])
+            if d and ended[t]:
+                h[:, : ended[t]] = 0
+                c[:, : ended[t]] = 0
+            e[t] += np.matmul(self.W[d], h, out=out)
+
+    def gain(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """What the best path of each window scores above the path of O alone."""
+        L, k, n = e.shape
+        T = self.T[:, :, None]
+        score, only = self.S[:, None] + e[0], self.S[0] + e[0, 0]
+        out = np.empty(n, np.float32)
+        ended = np.searchsorted(lengths, np.arange(L + 1), side="right")
+        for t in range(1, L + 1):
+            done = slice(ended[t - 1], ended[t])
+            if done.start < done.stop:
+                out[done] = score[:, done].max(axis=0) - only[done]
+            if t < L:
+                score = (score[:, None, :] + T).max(axis=0) + e[t]
+                only = only + (self.T[0, 0] + e[t, 0])
         return out
 
     def tags(self, windows: list[str]) -> list[np.ndarray]:
-        """Best tag sequence of each window; Viterbi runs only over those in which a tag can beat O anywhere."""
+        """Best tag sequence of each window, none of them empty, sorted by length; only paths that beat O alone are traced back."""
         x, lengths = encode(windows)
-        e = self.direction(0, np.ascontiguousarray(x.T)) + self.b[:, None]
-        back = self.direction(1, np.ascontiguousarray(_reverse(x, lengths).T))
-        at = np.arange(x.shape[1])[:, None]
-        live = at < lengths[None, :]
-        e += back[np.where(live, lengths[None, :] - 1 - at, at)[:, None, :], np.arange(len(TAGS))[None, :, None], np.arange(len(windows))[None, None, :]]
-        over = np.where(live, e[:, 1:].max(axis=1) - e[:, 0], -np.inf).max(axis=0) + self.bound
+        x = np.ascontiguousarray(x.T)
+        e = np.empty((len(x), len(TAGS), len(windows)), np.float32)
+        e[:] = self.b[:, None]
+        self.direction(0, x, lengths, e)
+        self.direction(1, x, lengths, e)
         out = [np.zeros(n, np.int8) for n in lengths]
-        some = np.flatnonzero(over > 0)
+        some = np.flatnonzero(self.gain(e, lengths) > 0)
         if len(some):
             e = np.ascontiguousarray(e[:, :, some].transpose(2, 0, 1))
             for k, path in zip(some, viterbi({"S": self.S, "T": self.T}, e, lengths[some])):
@@ -180,11 +198,11 @@ class Decoder:
 def tag_windows(p: dict[str, np.ndarray] | Decoder, windows: list[str], batch: int = 512) -> list[np.ndarray]:
     """Tags of each window; windows of like length are decoded together."""
     decoder = p if isinstance(p, Decoder) else Decoder(p)
-    order = sorted(range(len(windows)), key=lambda k: len(windows[k]))
+    order = sorted((k for k, w in enumerate(windows) if w), key=lambda k: len(windows[k]))
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(windows)
     for at in range(0, len(order), batch):
         part = order[at : at + batch]
-        if windows[part[-1]]:
+        if part:
             for k, tags in zip(part, decoder.tags([windows[k] for k in part])):
                 out[k] = tags
     return out
