@@ -209,6 +209,22 @@ def test_repeated_lines_equal_brute_force(spark):
     assert repetition.repeated_lines(cd.limit(0), dd).count() == 0
 
 
+def test_near_duplicates_are_decided_by_clusters(spark):
+    """Lines that differ in a name, a month or one word of many stand in one document each; only their cluster is frequent."""
+    people = ["Ada Berg", "Bo Lund", "Cy Holt", "Di Stein", "Ed Moor", "Flo Wick", "Gus Ley", "Hal Ford"]
+    months = ["May", "June", "July", "March", "April", "August", "October", "December"]
+    line = lambda k: f"This page was last looked over in {months[k]} 2024 by {people[k]} of the long standing manual group of the site and its many helpers"
+    chunks = [(k, k, f"Own text {k} {chr(97 + k) * 5}\n{line(k)}") for k in range(8)]
+    chunks += [(20, 20, "This page was last looked over by nobody and it tells of other things than those pages do, in quite other words")]
+    cd = spark.createDataFrame(chunks, "id bigint, document_id bigint, content string")
+    dd = spark.createDataFrame([(d, "p") for d in (*range(8), 20, *range(30, 40))], "doc_id bigint, product string")
+    assert repetition.soft_mask(line(0)) == repetition.soft_mask(line(5))
+    assert repetition.repeated_lines(cd, dd).count() == 0
+    assert {(r["id"], r["line_no"]) for r in repetition.repeated_lines(cd, dd, near=True).collect()} == {(k, 1) for k in range(8)}
+    clean = {r["id"]: r["content"] for r in repetition.without_repeated_lines(cd, dd).collect()}
+    assert clean[3] == "Own text 3 ddddd" and clean[20] == chunks[-1][2]
+
+
 # 6 markup
 
 
