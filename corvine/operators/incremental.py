@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvine.session import materialize
+
 
 def clean_hash(c: Column) -> Column:
     """A content hash without letter case, outer blanks and a leading ``sha256:``; null when nothing is left."""
@@ -42,17 +44,19 @@ def ledger_from_documents(documents: DataFrame) -> DataFrame:
 def reread_start(runs: list[tuple], run_no: int) -> int:
     """First run whose records run_no must read again.
 
-    runs: (run_no, started_at, finished_at, status).  It is the oldest run that was still open when
-    the last successful run before run_no ended, or the one after that success if none was.  A failed
-    run counts as open until the next success, whose reread covers it.
+    runs: (run_no, started_at, finished_at, status).  It is the oldest run that was open when the last
+    successful run before run_no ended, or the one after that success if none was.  A run of any status
+    was open then if it had started and not finished; what it wrote later is not in the ledger.  A run
+    without times counts as open unless it succeeded before.
     """
     before = [r for r in sorted(runs) if r[0] < run_no and r[3] == "succeeded"]
     if not before:
         return -(2**31)
     last = before[-1]
+    end = last[2]
     still_open = [
         r[0] for r in runs
-        if r[0] < last[0] and r[3] == "succeeded" and r[2] is not None and last[2] is not None and r[2] > last[2]
+        if r[0] < last[0] and (end is None or r[1] is None or r[1] <= end) and (r[2] is None or (end is not None and r[2] > end))
     ]
     return min([last[0] + 1, *still_open])
 
@@ -65,8 +69,11 @@ def process_run(pages: DataFrame, ledger: DataFrame, runs: list[tuple], run_no:
     Ties in fetch time go to the greater version.  Neither input may be empty-typed; empty tables give
     empty results.
     """
-    first = reread_start(runs, run_no)
-    seen = usable_fetches(pages).filter(F.col("run_no").between(first, run_no))
+    return _process(usable_fetches(pages), ledger, runs, run_no)
+
+
+def _process(fetches: DataFrame, ledger: DataFrame, runs: list[tuple], run_no: int) -> tuple[DataFrame, DataFrame]:
+    seen = fetches.filter(F.col("run_no").between(reread_start(runs, run_no), run_no))
     latest = seen.groupBy("url").agg(F.max(F.struct("at", "version")).alias("x")).select("url", "x.version", "x.at")
     fresh = (
         latest.join(ledger.select("url", F.col("at").alias("__at"), F.col("version").alias("__version")), "url", "left")
@@ -78,10 +85,33 @@ def process_run(pages: DataFrame, ledger: DataFrame, runs: list[tuple], run_no:
     return todo.select("url", "version", "at"), kept.unionByName(fresh)
 
 
+def process_all(pages: DataFrame, documents: DataFrame, runs: DataFrame, max_runs: int = 5_000) -> DataFrame:
+    """run_no, url, version of every record that each successful run has to process, by process_run in turn.
+
+    Each run's records and the ledger after it are written before the next run reads them, so a run that
+    is lost starts again from the last ledger.  The fetches are reduced to the latest per (url, run) once.
+    The list of runs is a driver-side value and is refused beyond max_runs; no successful run gives an
+    empty result.
+    """
+    listed = [tuple(r) for r in runs.select("run_no", "started_at", "finished_at", "status").limit(max_runs + 1).collect()]
+    if len(listed) > max_runs:
+        raise ValueError(f"more than {max_runs} runs")
+    latest = usable_fetches(pages).groupBy("url", "run_no").agg(F.max(F.struct("at", "version")).alias("x"))
+    fetches = materialize(latest.select("url", "run_no", "x.at", "x.version"), "fetches")
+    ledger = materialize(ledger_from_documents(documents), "ledger")
+    out = fetches.limit(0).select("run_no", "url", "version")
+    for run_no in sorted(r[0] for r in listed if r[3] == "succeeded" and r[0] is not None):
+        todo, after = _process(fetches, ledger, listed, run_no)
+        todo = materialize(todo.withColumn("run_no", F.lit(run_no)), "todo")
+        ledger = materialize(after, "ledger")
+        out = out.unionByName(todo.select("run_no", "url", "version"))
+    return out
+
+
 def replay_runs(pages: DataFrame, documents: DataFrame, runs: DataFrame, max_runs: int = 5_000) -> DataFrame:
     """run_no, url, version of every record that each successful run has to process.
 
-    The same result as calling process_run for the successful runs in turn, in one shuffle by url:
+    The same result as process_all, in one shuffle by url:
     the fetches of each run's reread span are reduced per (url, run) before the shuffle, the running
     maximum by fetch time is the ledger as of each run, and the anti-join against the ledger's
     (url, version) pair is the comparison with the row before.  A hot url has at most one row per run

@@ -47,7 +47,7 @@ ZONE = r"Z|[+-]\d{2}:?\d{2}(?:\[[^\]]*\])?|[+-]\d{2}|\[[A-Za-z0-9_+\-/]+\]|[A-Za
 
 
 def _clock(k: int, digits: str) -> str:
-    return rf"(?<h{k}>{digits}):(?<i{k}>\d{{2}})(?::(?<s{k}>\d{{2}})(?:[.,](?<f{k}>\d{{1,18}}))?)?"
+    return rf"(?<h{k}>{digits}):(?<i{k}>\d{{2}})(?::(?<s{k}>\d{{2}})(?:[.,](?<f{k}>\d+))?)?"
 
 
 def _alternatives() -> list[str]:
@@ -55,7 +55,7 @@ def _alternatives() -> list[str]:
     half = lambda k: rf"(?:\s*(?<a{k}>[AaPp]\.?[Mm]\.?))?"
     return [
         rf"(?<y1>\d{{4}})-(?<o1>\d{{2}})-(?<d1>\d{{2}})(?:(?:T|\s+){_clock(1, r'\d{2}')}{zone(1)})?",
-        rf"(?<y2>\d{{4}})(?<o2>\d{{2}})(?<d2>\d{{2}})T(?<h2>\d{{2}})(?<i2>\d{{2}})(?:(?<s2>\d{{2}})(?:[.,](?<f2>\d{{1,18}}))?)?{zone(2)}",
+        rf"(?<y2>\d{{4}})(?<o2>\d{{2}})(?<d2>\d{{2}})T(?<h2>\d{{2}})(?<i2>\d{{2}})(?:(?<s2>\d{{2}})(?:[.,](?<f2>\d+))?)?{zone(2)}",
         rf"(?:\p{{L}}{{2,10}}\.?,?\s+)?(?<d3>\d{{1,2}})[ -](?<n3>\p{{L}}{{3,9}})\.?[ -](?<y3>\d{{4}})(?:\s+{_clock(3, r'\d{1,2}')}{zone(3)})?",
         rf"(?<n4>\p{{L}}{{3,9}})\.?\s+(?<d4>\d{{1,2}}),?\s+(?<y4>\d{{4}})(?:,?\s+{_clock(4, r'\d{1,2}')}{half(4)}{zone(4)})?",
         rf"(?<d5>\d{{1,2}})\.\s*(?<n5>\p{{L}}{{3,9}})\.?\s+(?<y5>\d{{4}})(?:,?\s+{_clock(5, r'\d{1,2}')}(?:\s*Uhr)?{zone(5)})?",

@@ -82,3 +82,28 @@ def test_replay_of_empty_tables(crawl):
     pages, docs, runs = crawl
     assert inc.replay_runs(pages.limit(0), docs, runs).count() == 0
     assert inc.replay_runs(pages, docs.limit(0), runs.limit(0)).count() == 0
+
+
+def test_late_rows_of_open_runs_are_read(spark):
+    """What a run that was still open writes after a later success is read by the next run, whatever the open run's status."""
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    docs = spark.createDataFrame([], "url string, content_hash string")
+    row = lambda url, run, h: (url, run, 200, f"2024-01-01T{h:02}:00:00Z", f"h{h}")
+    schema = "url string, run_no int, http_status int, fetched_at string, content_hash string"
+    for status, finished in (("running", None), ("failed", t(9)), ("succeeded", t(9))):
+        runs = [(1, t(1), finished, status), (2, t(2), t(4), "succeeded"), (3, t(5), t(6), "succeeded")]
+        assert inc.reread_start(runs, 3) == 1
+        early = spark.createDataFrame([row("a", 2, 3)], schema)
+        late = early.unionByName(spark.createDataFrame([row("b", 1, 5), row("c", 3, 5)], schema))
+        todo, ledger = inc.process_run(early, inc.ledger_from_documents(docs), runs, 2)
+        assert [r["url"] for r in todo.collect()] == ["a"]
+        todo, ledger = inc.process_run(late, ledger, runs, 3)
+        assert sorted(r["url"] for r in todo.collect()) == ["b", "c"] and ledger.count() == 3
+    assert inc.reread_start([(1, t(1), t(2), "failed"), (2, t(3), t(4), "succeeded")], 3) == 3
+
+
+def test_all_runs_in_turn_equal_one_shuffle(spark, crawl):
+    pages, docs, runs = crawl
+    rows = lambda df: sorted((r["run_no"], r["url"], r["version"]) for r in df.collect())
+    assert rows(inc.process_all(pages, docs, runs)) == rows(inc.replay_runs(pages, docs, runs)) != []
+    assert inc.process_all(pages.limit(0), docs, runs).count() == 0
