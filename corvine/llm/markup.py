@@ -49,9 +49,9 @@ SYMBOLS = (
     " Rightarrow pm mp div forall exists left right quad qquad item centering maketitle tableofcontents hline"
 ).split()
 FORMULA = re.compile(
-    r"\$\$(?=\S|\s+\S)[^$]{1,2000}?\$\$|\\\((?=.*?\\\)).{1,500}?\\\)|\\\[.{1,2000}?\\\]"
+    r"\$\$(?=\S|\s+\S)[^$]+?\$\$|\\\((?:(?!\\[()]).)+\\\)|\\\[(?:(?!\\[\[\]]).)+\\\]"
     r"|\\begin\{([A-Za-z]+\*?)\}.*?(?:\\end\{\1\}|\Z)"
-    r"|(?<![\w$\\])\$(?![\s$])(?=[^$\n]*[\\^_{}])(?=[^$\n]*(?:\\[A-Za-z]|[_^]\{|[A-Za-z0-9)]\^|[a-zA-Z]_[a-zA-Z0-9{]))[^$\n]{1,400}?(?<![\s\\])\$(?![\w$])",
+    r"|(?<![\w$\\])\$(?![\s$])(?=[^$\n]*[\\^_{}])(?=[^$\n]*(?:\\[A-Za-z]|[_^]\{|[A-Za-z0-9)]\^|[a-zA-Z]_[a-zA-Z0-9{]))[^$\n]+?(?<![\s\\])\$(?![\w$])",
     re.S,
 )
 COMMAND = re.compile(
@@ -59,7 +59,7 @@ COMMAND = re.compile(
 )
 LOOSE_END = re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}")
 MD_LINE = re.compile(
-    r"^(?:[ \t]{0,12}(?:[-*+]|\d{1,3}[.)])[ \t]+\S| {0,3}#{1,6}(?:[ \t]+\S|$)| {0,3}>| {0,3}(?:\*[ \t]*){3,}$| {0,3}(?:-[ \t]*){3,}$"
+    r"^(?:[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\S| {0,3}#{1,6}(?:[ \t]+\S|$)| {0,3}>| {0,3}(?:\*[ \t]*){3,}$| {0,3}(?:-[ \t]*){3,}$"
     r"|[ \t]*\|.*\|[ \t]*$| {0,3}(?:`{3,}|~{3,}))"
 )
 MD_INLINE = re.compile(

@@ -17,13 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvine.session import bounded_broadcast
+from corvine.session import bounded_broadcast, materialize
 
 BINS = 4096
 MAX_BINS = 1 << 18
 """Bins of one source, and most of all sources together, that come to the driver in one pass."""
 MAX_CELLS = 20_000
-"""Most cells that come to the driver; more are an error, not a sample."""
+"""Most cells that are raked on the driver; more are raked by joins."""
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,7 @@ class MixOptions:
     seed: int = 3
     total_tokens: float | None = None
     """Tokens of the mixture; by default the most at which all shares can be reached."""
+    max_cells: int = MAX_CELLS
 
 
 def language(c: Column) -> Column:
@@ -59,20 +60,29 @@ def rake(tokens: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
-def expected_factors(tokens: np.ndarray, w: np.ndarray, of: np.ndarray, caps: np.ndarray, goals: np.ndarray) -> np.ndarray:
-    """Per source the factor at which the expected use, min(weight * factor, cap), meets its goal."""
-    out = np.ones(len(goals))
-    for k in range(len(goals)):
-        own = (of == k) & (w > 0)
-        if not own.any():
-            continue
-        t, ww = tokens[own], w[own]
-        lo, hi = 0.0, float(caps[k] / ww.min())
-        for _ in range(100):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if (t * np.minimum(mid * ww, caps[k])).sum() < goals[k] else (lo, mid)
-        out[k] = hi
-    return out
+def raked(cells: DataFrame, goals: DataFrame, scale: float, options: MixOptions) -> DataFrame:
+    """cells with their weights w, raked like in rake, but by sums and joins over any number of cells.
+
+    cells: source, language, topic, t (tokens); goals: source, cap, wanted (tokens).  Languages and
+    topics keep their tokens times ``scale``.  Each round is written, so that plans stay short; hot
+    classes are only sums, pre-aggregated before the shuffle.
+    """
+    now = cells.join(goals, "source").withColumn("w", F.least(F.lit(1.0), F.col("cap")))
+    for name in ("language", "topic"):
+        now = now.join(cells.groupBy(name).agg((F.sum("t") * scale).alias(f"{name}_goal")), name)
+    now = materialize(now.withColumnsRenamed({"wanted": "source_goal"}), "cells")
+    for _ in range(options.rounds):
+        before = now.withColumn("before", F.col("w"))
+        for name in ("language", "topic", "source"):
+            reached = before.groupBy(name).agg(F.sum(F.col("w") * F.col("t")).alias("reached"))
+            factor = F.when(F.col("reached") > 0, F.col(f"{name}_goal") / F.col("reached")).otherwise(1.0)
+            before = before.join(bounded_broadcast(reached, 1_000_000), name).withColumn("w", F.least(F.col("w") * factor, F.col("cap"))).drop("reached")
+        before = materialize(before, "cells")
+        change = before.agg(F.max(F.abs(F.col("w") - F.col("before")) - options.tolerance * F.col("w"))).first()[0]
+        now = before.drop("before")
+        if change is None or change <= 0:
+            break
+    return now.select("source", "language", "topic", "t", "w")
 
 
 def _uses(f: Column) -> Column:
@@ -160,35 +170,34 @@ def mixture(documents: DataFrame, targets: DataFrame, options: MixOptions = MixO
         )
     )
     key = ["source", "language", "topic"]
-    cells = rows.groupBy(*key).agg(F.sum("n_tokens").alias("t")).limit(MAX_CELLS + 1).toPandas()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells")
-    names = sorted(cells["source"].unique())
-    avail = cells.groupby("source")["t"].sum().reindex(names).to_numpy(float)
+    cells = materialize(rows.groupBy(*key).agg(F.sum("n_tokens").cast("bigint").alias("t")), "cells")
+    have = {r[0]: float(r[1]) for r in cells.groupBy("source").agg(F.sum("t")).collect()}  # one row a source
+    names = sorted(have)
+    avail = np.array([have[s] for s in names])
     share = np.array([goals[s][0] for s in names])
     cap = np.array([goals[s][1] for s in names], float)
     share = share / share.sum() if len(share) else share
     total = options.total_tokens or (float((avail * cap / share).min()) if len(share) else 0.0)
-    tokens = cells["t"].to_numpy(float)
-    of_source = np.searchsorted(names, cells["source"]) if names else np.zeros(0, int)
-    scale = total / tokens.sum() if len(tokens) else 0.0
-    marginals, goals_by = [of_source], [share * total]
-    for c in ("language", "topic"):
-        classes, of = np.unique(cells[c].to_numpy(str), return_inverse=True)
-        marginals.append(of)
-        goals_by.append(np.bincount(of, tokens, minlength=len(classes)) * scale)
-    w = rake(tokens, marginals, goals_by, cap[of_source], options.rounds, options.tolerance) if len(tokens) else np.zeros(0)
-    cells["k"], cells["w"] = of_source, w
-    table = spark.createDataFrame(
-        [(*r[:3], int(r[3]), float(r[4])) for r in cells[[*key, "k", "w"]].itertuples(index=False)], "source string, language string, topic string, k int, w double"
-    )
-    drawn = (
-        rows.join(F.broadcast(table.filter("w > 0")), key)  # at most MAX_CELLS rows
-        .join(wanted.withColumnRenamed("max_repeats", "cap"), "source")
-    )
-    goals_of = share * total
-    least = np.array([w[(of_source == k) & (w > 0)].min(initial=np.inf) for k in range(len(names))])
-    factor = exact_factors(drawn, goals_of, expected_factors(tokens, w, of_source, cap, goals_of), cap / least)
+    goals_of, scale = share * total, total / avail.sum() if len(names) else 0.0
+    few = cells.limit(options.max_cells + 1).toPandas()
+    if len(few) <= options.max_cells:
+        tokens, of_source = few["t"].to_numpy(float), np.searchsorted(names, few["source"]) if names else np.zeros(0, int)
+        marginals, goals_by = [of_source], [goals_of]
+        for c in ("language", "topic"):
+            classes, of = np.unique(few[c].to_numpy(str), return_inverse=True)
+            marginals.append(of)
+            goals_by.append(np.bincount(of, tokens, minlength=len(classes)) * scale)
+        w = rake(tokens, marginals, goals_by, cap[of_source], options.rounds, options.tolerance) if len(tokens) else tokens
+        table = spark.createDataFrame([(*r, float(x)) for r, x in zip(few[key].itertuples(index=False), w)], "source string, language string, topic string, w double")
+    else:
+        wanted_of = [(s, float(c), float(g)) for s, c, g in zip(names, cap, goals_of)]
+        table = raked(cells, spark.createDataFrame(wanted_of, "source string, cap double, wanted double"), scale, options).drop("t")
+    numbers = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "source string, k int")
+    weighted = materialize(table.filter("w > 0").join(F.broadcast(numbers), "source"), "weights")
+    lowest = {r[0]: r[1] for r in weighted.groupBy("k").agg(F.min("w")).collect()}
+    drawn = rows.join(bounded_broadcast(weighted, options.max_cells), key).join(wanted.withColumnRenamed("max_repeats", "cap"), "source")
+    least = np.array([lowest.get(k, np.inf) for k in range(len(names))])
+    factor = exact_factors(drawn, goals_of, np.ones(len(names)), cap / least)
     factors = spark.createDataFrame([(k, float(f)) for k, f in enumerate(factor)], "k int, factor double")
     mixed = (
         drawn.join(F.broadcast(factors), "k")  # one row a source

@@ -323,6 +323,24 @@ def test_mixture_with_a_scarce_source(spark):
     assert {r["source"]: r["mixed_tokens"] for r in report.collect()} == pytest.approx({"big": 200, "tiny": 80, "some": 120}, abs=10)
 
 
+def test_many_cells_are_raked_by_joins(spark):
+    rows = [(i, "abc"[i % 3], ["en", "de"][i % 7 % 2], f"m{i % 11}", 10 + i % 50) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, manual string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.39, 1), ("c", 0.01, 3)], "source string, target_share double, max_repeats int")
+    few, many = (mixing.mixture(df, targets, mixing.MixOptions(rounds=r, tolerance=1e-4, max_cells=m))[1].collect() for r, m in ((60, 20_000), (6, 5)))
+    for report in (few, many):
+        assert all(abs(r["reached_share"] - r["target_share"]) < 0.005 for r in report)
+
+
+def test_small_weights_are_met(spark):
+    """A large source of which one token in 2,000 is drawn still meets its share."""
+    rows = [(i, "big" if i < 40_000 else "tiny", "en", "m", 50 + i % 7) for i in range(40_020)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, manual string, n_tokens int")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 1)], "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mixing.mixture(df, targets)[1].collect()}
+    assert report["big"]["n_documents"] < 25 and abs(report["big"]["reached_share"] - 0.5) < 0.03
+
+
 def test_rake_meets_marginals():
     rng = np.random.default_rng(1)
     t = rng.integers(1, 50, 24).astype(float)
