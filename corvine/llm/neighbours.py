@@ -1,11 +1,14 @@
 """Most similar vectors for every vector by a forest of random-projection trees (problem 1).
 
-The trees' hyperplanes are fitted on a bounded sample; every vector is indexed in one leaf of each
-tree.  A query walks down all trees and collects the nodes where it could have gone the other way in
-one priority queue shared by all trees; the closest of them are followed to further leaves.  Queries
-and index rows meet in their leaf, where a matrix product yields candidates, and candidates are
-reranked with the exact vectors.  Exact copies are one vector in the forest and come back as ranked
-ids afterwards, so that a vector repeated in a third of all rows costs no more than any other.
+The upper hyperplanes are fitted on a bounded sample on the driver; leaves that hold too many vectors
+are then split further by hyperplanes fitted on samples of their own rows, in the executors, until no
+leaf is too large: deep trees for large collections, deeper ones where near-copies crowd.  Every vector
+is indexed in one leaf of each tree.  A query walks down all trees; every node where it could have gone
+the other way enters one priority queue shared by all trees, and the closest entries are followed to
+further leaves, whose own turns enter the queue too.  Queries and index rows meet in their leaf, where
+a matrix product yields candidates, and candidates are reranked with the exact vectors.  Exact copies
+are one vector in the forest and come back as ranked ids afterwards, so that a vector repeated in a
+third of all rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -32,86 +35,122 @@ class ForestOptions:
     leaf: int = 2000
     """Vectors aimed at in a leaf."""
     extra_leaves: int = 3
-    """Leaves a query visits through the shared queue besides its own one in each tree."""
+    """Leaves a query visits through the shared queue besides its own one in each tree, one more for each level beyond ``level``."""
+    level: int = 7
     sample: int = 40_000
-    """Most vectors the hyperplanes are fitted on."""
+    """Most vectors the upper hyperplanes are fitted on, and about the most of one leaf that is split further."""
+    crowd: float = 3.0
+    """Times ``leaf`` beyond which a leaf is split further."""
+    rounds: int = 12
+    """Most rounds of splitting; a leaf that no hyperplane splits stays."""
     seed: int = 7
 
 
+def hyperplanes(x: np.ndarray, levels: int, rng: np.random.Generator, root: int = 1, least: int = 24) -> dict[int, tuple[np.ndarray, float]]:
+    """node -> (normal, offset) of up to ``levels`` levels below root; node k has the children 2k and 2k + 1.
+
+    Of three directions between two of a node's rows the one with most spread is taken, cut at its
+    median.  Nodes of fewer than ``least`` rows, or of equal ones, are not split.
+    """
+    out: dict[int, tuple[np.ndarray, float]] = {}
+    held = {root: np.arange(len(x))}
+    for _ in range(levels):
+        below: dict[int, np.ndarray] = {}
+        for node, rows in held.items():
+            if len(rows) < least:
+                continue
+            best, spread, at = None, 0.0, None
+            for _ in range(3):
+                a, b = x[rng.choice(rows, 2, replace=False)]
+                w = a - b
+                if size := float(np.linalg.norm(w)):
+                    p = x[rows] @ (w / size)
+                    if (v := float(p.var())) > spread:
+                        best, spread, at = w / size, v, p
+            if best is None:
+                continue
+            cut = float(np.median(at))
+            right = at > cut
+            if right.any() and not right.all():
+                out[node] = best.astype(np.float32), cut
+                below |= {2 * node: rows[~right], 2 * node + 1: rows[right]}
+        held = below
+    return out
+
+
 class Tree:
-    """Hyperplanes by level; beyond the sample's resolution one direction per level through each leaf's mean."""
-
-    def __init__(self, sample: np.ndarray, depth: int, rng: np.random.Generator):
-        n, dim = sample.shape
-        self.depth = depth
-        self.fitted = max(0, min(depth, int(np.log2(max(1, n / 24)))))
-        self.normals = np.zeros((2**self.fitted, dim), np.float32)
-        self.offsets = np.zeros(2**self.fitted, np.float32)
-        node = np.ones(n, np.int64)
-        for level in range(self.fitted):
-            for k in range(2**level, 2 ** (level + 1)):
-                rows = np.flatnonzero(node == k)
-                if len(rows) < 2:
-                    continue
-                best, spread = None, -1.0
-                for _ in range(3):
-                    a, b = sample[rng.choice(rows, 2, replace=False)]
-                    w = a - b
-                    w /= np.linalg.norm(w) or 1.0
-                    p = sample[rows] @ w
-                    if (s := float(p.var())) > spread:
-                        best, spread, at = w, s, p
-                self.normals[k], self.offsets[k] = best, np.median(at)
-                node[rows] = 2 * k + (at > self.offsets[k])
-        self.deep = rng.normal(size=(depth - self.fitted, dim)).astype(np.float32)
-        self.deep /= np.linalg.norm(self.deep, axis=1, keepdims=True) + 1e-12
-        sums = np.zeros((2**self.fitted, dim), np.float32)
-        np.add.at(sums, node - 2**self.fitted, sample)
-        self.means = sums / np.maximum(1, np.bincount(node - 2**self.fitted, minlength=2**self.fitted))[:, None]
-
-    def margin(self, x: np.ndarray, node: np.ndarray, level: int) -> np.ndarray:
-        if level < self.fitted:
-            return np.einsum("nd,nd->n", x, self.normals[node]) - self.offsets[node]
-        w = self.deep[level - self.fitted]
-        return x @ w - (self.means @ w)[(node >> (level - self.fitted)) - 2**self.fitted]
-
-    def descend(self, x: np.ndarray, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(leaves, margins by level) from node at level down."""
-        margins = np.full((len(x), self.depth), np.inf, np.float32)
-        for k in range(level, self.depth):
-            m = self.margin(x, node, k)
-            margins[:, k] = np.abs(m)
-            node = 2 * node + (m > 0)
-        return node, margins
+    """Hyperplanes by node number, in sorted arrays; a node without one is a leaf."""
+
+    def __init__(self, nodes: dict[int, tuple[np.ndarray, float]], dim: int):
+        self.keys = np.array(sorted(nodes), np.int64)
+        self.normals = np.array([nodes[k][0] for k in self.keys.tolist()], np.float32).reshape(-1, dim)
+        self.offsets = np.array([nodes[k][1] for k in self.keys.tolist()], np.float32)
+
+    def with_nodes(self, more: dict[int, tuple[np.ndarray, float]]) -> Tree:
+        old = {k: (w, float(o)) for k, w, o in zip(self.keys.tolist(), self.normals, self.offsets)}
+        return Tree(old | more, self.normals.shape[1])
+
+    def descend(self, x: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """(leaf of each row from its node down, turns): turns are (rows, node not taken, distance) by level."""
+        node, rows, turns = node.copy(), np.arange(len(x)), []
+        while len(rows) and len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, node[rows]), len(self.keys) - 1)
+            inner = self.keys[at] == node[rows]
+            rows, at = rows[inner], at[inner]
+            if not len(rows):
+                break
+            m = np.einsum("nd,nd->n", x[rows], self.normals[at]) - self.offsets[at]
+            taken = 2 * node[rows] + (m > 0)
+            turns.append((rows, taken ^ 1, np.abs(m)))
+            node[rows] = taken
+        return node, turns
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, total: int, options: ForestOptions):
-        depth = max(0, int(np.ceil(np.log2(max(1.0, total / options.leaf)))))
-        rng = np.random.default_rng(options.seed)
-        self.trees = [Tree(sample, depth, rng) for _ in range(options.trees)]
-        self.depth, self.extra = depth, options.extra_leaves
+    def __init__(self, trees: list[Tree], extra: int):
+        self.trees, self.extra = trees, extra
+
+    @staticmethod
+    def cell(node: np.ndarray, tree: int) -> np.ndarray:
+        return (node << 8) | tree
+
+    def own(self, x: np.ndarray) -> list[np.ndarray]:
+        return [self.cell(t.descend(x, np.ones(len(x), np.int64))[0], k) for k, t in enumerate(self.trees)]
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, own): own cells of all trees, then cells reached through the shared queue."""
+        """(row, cell, own): own cells of all trees, then cells reached through the queue shared by all trees.
+
+        An entry's priority is the greatest distance to a hyperplane on the way to it, so a turn below a
+        turned node is never closer than that node.
+        """
         n = len(x)
-        own, margins = zip(*(t.descend(x, np.ones(n, np.int64), 0) for t in self.trees))
-        cell = [(leaf << 8) | k for k, leaf in enumerate(own)]
-        rows = [np.arange(n)] * len(cell)
-        queue = np.concatenate(margins, axis=1)
-        extra = min(self.extra, queue.shape[1])
-        if extra and self.depth:
-            near = np.argpartition(queue, extra - 1, axis=1)[:, :extra] if extra < queue.shape[1] else np.tile(np.arange(extra), (n, 1))
-            for k, tree in enumerate(self.trees):
-                for level in range(self.depth):
-                    r = np.flatnonzero((near == k * self.depth + level).any(axis=1))
-                    if len(r):
-                        turned = (own[k][r] >> (self.depth - 1 - level)) ^ 1
-                        leaf, _ = tree.descend(x[r], turned, level + 1)
-                        cell.append((leaf << 8) | k)
-                        rows.append(r)
-        mine = np.concatenate([np.full(len(r), i < len(self.trees)) for i, r in enumerate(rows)])
-        return np.concatenate(rows), np.concatenate(cell), mine
+        rows, cells, mine = [], [], []
+        queue: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # row, tree and node, priority
+
+        def visit(some: np.ndarray, tree: int, node: np.ndarray, floor: np.ndarray, own: bool) -> None:
+            leaf, turns = self.trees[tree].descend(x[some], node)
+            rows.append(some)
+            cells.append(self.cell(leaf, tree))
+            mine.append(np.full(len(some), own))
+            for r, other, far in turns:
+                queue.append((some[r], self.cell(other, tree), np.maximum(far, floor[r])))
+
+        for k in range(len(self.trees)):
+            visit(np.arange(n), k, np.ones(n, np.int64), np.zeros(n, np.float32), True)
+        for _ in range(self.extra):
+            if not queue:
+                break
+            row, entry, far = (np.concatenate(p) for p in zip(*queue))
+            order = np.lexsort((entry, far, row))
+            first = order[np.r_[True, row[order][1:] != row[order][:-1]]]  # the closest entry of each row
+            rest = np.ones(len(row), bool)
+            rest[first] = False
+            queue[:] = [(row[rest], entry[rest], far[rest])]
+            for k in range(len(self.trees)):
+                own = first[(entry[first] & 255) == k]
+                if len(own):
+                    visit(row[own], k, entry[own] >> 8, far[own], False)
+        return np.concatenate(rows), np.concatenate(cells), np.concatenate(mine)
 
 
 CODE_ERROR = 0.012
@@ -202,6 +241,74 @@ def _candidates(cells: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     return cells.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
+def _split_further(unique: DataFrame, forest: Forest, dim: int, sizes: dict[int, int], options: ForestOptions) -> Forest:
+    """The forest with hyperplanes below the leaves in ``sizes`` (cell -> rows), fitted where the rows are.
+
+    Rows are sampled by a hash to about 48 for each leaf aimed at, at most ``sample`` of a leaf.
+    """
+    share = {c: min(1.0, 48 / options.leaf, options.sample / n) for c, n in sizes.items()}
+    spread = df_broadcast(unique, (forest, share))
+
+    def pick(ids: np.ndarray, unit: np.ndarray) -> list[pa.Array]:
+        forest, share = spread.value
+        u = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        rows, cells = [], []
+        for own in forest.own(unit):
+            take = np.flatnonzero(u < np.array([share.get(c, 0.0) for c in own.tolist()]))
+            rows.append(take)
+            cells.append(own[take])
+        take = np.concatenate(rows)
+        return [pa.array(np.concatenate(cells)), _fixed(unit[take])] if len(take) else [pa.array([], pa.int64()), pa.array([], pa.binary())]
+
+    def fit(group: pa.Table) -> pa.Table:
+        cell = group.column("cell")[0].as_py()
+        x = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+        x = x[np.lexsort(x.T[::-1])]  # the same planes in whatever order rows arrive
+        levels = int(np.ceil(np.log2(max(2.0, sizes[cell] / options.leaf))))
+        planes = hyperplanes(x, levels, np.random.default_rng(options.seed + cell % 1009), cell >> 8, least=8)
+        return pa.table({
+            "tree": pa.array([cell & 255] * len(planes), pa.int32()), "node": pa.array(list(planes), pa.int64()),
+            "normal": pa.array([w.tobytes() for w, _ in planes.values()], pa.binary()), "cut": pa.array([c for _, c in planes.values()], pa.float64()),
+        })
+
+    # one row per hyperplane: a vector for about every ``leaf`` rows
+    found = _each_batch(unique, dim, pick, "cell bigint, vec binary").groupBy("cell").applyInArrow(fit, "tree int, node bigint, normal binary, cut double")
+    more: list[dict[int, tuple[np.ndarray, float]]] = [{} for _ in forest.trees]
+    for r in found.toLocalIterator():
+        more[r["tree"]][r["node"]] = np.frombuffer(r["normal"], np.float32), r["cut"]
+    return Forest([t.with_nodes(m) if m else t for t, m in zip(forest.trees, more)], forest.extra)
+
+
+def df_broadcast(df: DataFrame, value):
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
+def grown_forest(unique: DataFrame, sample: np.ndarray, total: int, dim: int, options: ForestOptions) -> Forest:
+    """A forest whose leaves hold at most ``crowd`` times ``leaf`` of the vectors in unique(id, v), if planes can part them."""
+    rng = np.random.default_rng(options.seed)
+    depth = max(0, int(np.ceil(np.log2(max(1.0, total / options.leaf)))))
+    forest = Forest([Tree(hyperplanes(sample, depth, rng), dim) for _ in range(options.trees)], options.extra_leaves + max(0, depth - options.level))
+    stuck: set[int] = set()
+    for _ in range(options.rounds):
+        spread = df_broadcast(unique, forest)
+
+        def count(ids: np.ndarray, unit: np.ndarray) -> list[pa.Array]:
+            cells, n = np.unique(np.concatenate(spread.value.own(unit)), return_counts=True)  # noqa: B023
+            return [pa.array(cells), pa.array(n)]
+
+        counted = _each_batch(unique, dim, count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+        crowded = {r["cell"]: r["n"] for r in counted.filter(F.col("n") > options.crowd * options.leaf).toLocalIterator() if r["cell"] not in stuck}
+        if not crowded:
+            break
+        before = [len(t.keys) for t in forest.trees]
+        forest = _split_further(unique, forest, dim, crowded, options)
+        inner = [set(t.keys.tolist()) for t in forest.trees]
+        stuck |= {c for c in crowded if (c >> 8) not in inner[c & 255]}
+        if before == [len(t.keys) for t in forest.trees]:
+            break
+    return forest
+
+
 def similar_pairs(
     df: DataFrame, id_col: str = "id", vector: str = "embedding", dim: int = 64, k: int = 10, least: float = -1.0,
     options: ForestOptions = ForestOptions(),
@@ -231,8 +338,8 @@ def similar_pairs(
     taken = _each_batch(picked, dim, lambda ids, unit: [pa.array(ids), _fixed(unit)], "id bigint, vec binary")
     rows = taken.limit(2 * options.sample).toArrow().column("vec").to_pylist()
     sample = np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim)
-    # bounded by the sample's size
-    forest = df.sparkSession.sparkContext.broadcast(Forest(sample, total, options))
+    # a plane for about every ``leaf`` rows and tree, dim + 1 floats each
+    forest = df_broadcast(df, grown_forest(unique, sample, total, dim, options))
 
     def placed(ids: np.ndarray, unit: np.ndarray) -> list[pa.Array]:
         row, cell, own = forest.value.cells(unit)
