@@ -153,7 +153,7 @@ class Forest:
         return np.concatenate(rows), np.concatenate(cells), np.concatenate(mine)
 
 
-CODE_ERROR = 0.012
+CODE_ERROR = 1e-4
 """More than similarities of coded vectors are off by."""
 
 
@@ -196,21 +196,22 @@ def _hashes(ids: np.ndarray, unit: np.ndarray) -> list[pa.Array]:
 
 
 def _coded(unit: np.ndarray) -> np.ndarray:
-    """One signed byte per element and the scale as float32."""
+    """Two signed bytes per element and the scale as float32."""
     top = np.abs(unit).max(axis=1, keepdims=True)
-    code = np.rint(unit / top * 127).astype(np.int8).view(np.uint8)
-    return np.concatenate([code, (top / 127).astype(np.float32).view(np.uint8)], axis=1)
+    code = np.rint(unit / top * 32767).astype(np.int16).view(np.uint8)
+    return np.concatenate([code, (top / 32767).astype(np.float32).view(np.uint8)], axis=1)
 
 
 def _decoded(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, dim + 4)
-    return flat[:, :dim].copy().view(np.int8).astype(np.float32) * flat[:, dim:].copy().view(np.float32)
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * dim + 4)
+    return flat[:, : 2 * dim].copy().view(np.int16).astype(np.float32) * flat[:, 2 * dim :].copy().view(np.float32)
 
 
 def _candidates(cells: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    """a, b: for each query in each cell up to k index rows, of those with similarity near least or above.
+    """a, b: for each query in each cell up to 2k index rows, of those with similarity near least or above.
 
-    The coded similarities choose more than k, so that coding can't cost a neighbour.
+    The coded similarities choose twice k, so that coding costs a neighbour only where more than k others
+    are within CODE_ERROR of it.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -224,15 +225,12 @@ def _candidates(cells: DataFrame, dim: int, k: int, least: float) -> DataFrame:
             r, c = np.nonzero(s >= least)
             keep = q[r] != xs[c]
             r, c = r[keep], c[keep]
-            if (np.bincount(r, minlength=1) > k).any():
+            if (np.bincount(r, minlength=1) > 2 * k).any():
                 order = np.lexsort((xs[c], -s[r, c], r))
                 r, c = r[order], c[order]
                 start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                 size = np.diff(np.r_[start, len(r)])
-                place = np.arange(len(r)) - np.repeat(start, size)
-                # all within the coding error of the k-th stay
-                kth = np.repeat(s[r[np.minimum(start + k, start + size) - 1], c[np.minimum(start + k, start + size) - 1]], size)
-                keep = (place < k) | (s[r, c] >= kth - 2 * CODE_ERROR)
+                keep = np.arange(len(r)) - np.repeat(start, size) < 2 * k
                 r, c = r[keep], c[keep]
             out.append((q[r], xs[c]))
         a, b = (np.concatenate(p) for p in zip(*out))
