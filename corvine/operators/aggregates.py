@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _by_element(df: DataFrame, keys: list[str], vector: str, agg) -> DataFrame:
@@ -39,16 +37,3 @@ def vector_sum(df: DataFrame, vector: str, keys: list[str] | None = None, out: s
     f = F.transform("__v", lambda x: x.cast("float"))
     bad = F.exists(f, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     return r.select(*(keys or []), F.when(bad, F.raise_error(F.lit("value out of range: overflow"))).otherwise(f).alias(out))
-
-
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def half_sum(values: pd.Series) -> object:
-    """Running sum in half precision in the order of arrival, which loses digits by design."""
-    import numpy as np
-
-    total = None
-    for v in values:
-        if v is not None:
-            h = np.asarray(v, np.float32).astype(np.float16)
-            total = h if total is None else (total.astype(np.float32) + h.astype(np.float32)).astype(np.float16)
-    return None if total is None else total.astype(np.float32).tolist()

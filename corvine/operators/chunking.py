@@ -30,7 +30,7 @@ def split_chunks(body: str) -> list[tuple[str, int, str]]:
     outside = (np.cumsum(ticks) % 2 == 0) & (ticks == 0)
     heads = [m for m, ok in zip(marks, outside) if ok and m["level"]]
     first = heads[0].start() if heads else len(body)
-    tops = [m.span() for m, ok in zip(marks, outside) if ok and m["top"] and m.start() < first]
+    tops = [(m.start(), min(m.end() + 1, first)) for m, ok in zip(marks, outside) if ok and m["top"] and m.start() < first]
     edges = [0, *(x for span in tops for x in span), first]
     parts = [("", 0, "".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])))]
     ends = [m.start() for m in heads[1:]] + [len(body)]

@@ -186,12 +186,12 @@ def search(index: IvfIndex, queries: DataFrame, k: int, probes: int = 1, max_pro
     return joined.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).select("query_id", "id", "distance", "place")
 
 
-def insert(index: IvfIndex, rows: DataFrame, path: str | None = None) -> IvfIndex:
-    """Append rows to their nearest lists; the centres stay."""
+def insert(index: IvfIndex, rows: DataFrame, path: str | None = None, mode: str = "append") -> IvfIndex:
+    """Add rows to their nearest lists; the centres stay.  With path they are written there, by list; mode as of a writer."""
     schema = f"`{index.id_col}` bigint, `{index.vector}` {index.table.schema[index.vector].dataType.simpleString()}, list int"
     new = rows.select(F.col(index.id_col).cast("bigint").alias(index.id_col), index.vector).mapInArrow(_assigner(index.centres, index.options, rows.sparkSession), schema)
     if path:
-        new.write.mode("append").partitionBy("list").parquet(path)
+        new.write.mode(mode).partitionBy("list").parquet(path)
         return IvfIndex(index.centres, index.options, rows.sparkSession.read.schema(schema).parquet(path), index.id_col, index.vector)
     return IvfIndex(index.centres, index.options, index.table.unionByName(new), index.id_col, index.vector)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvine.functions import bits, sparse
 from corvine.functions import vectors as V
 from corvine.operators import aggregates, hnsw, ivf, knn
-from corvine.session import table
+from corvine.session import once, table
 
 K = 10
 
@@ -104,13 +104,13 @@ def vector_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and binary forms come back equal."""
+    """Sums of the vectors that come back from the text, binary and sparse text forms."""
     a = F.col("embedding")
-    rows = _rows(spark, sf_dir).withColumn("text", V.format_vector(a)).withColumn("bytes", V.send_vector(a)).withColumn("s", sparse.from_dense(a))
-    rows = rows.withColumn("sparse_text", sparse.format_sparse(F.col("s"))).withColumn("back", sparse.parse_sparse(F.col("sparse_text")))
-    return rows.select(
-        "vec_id", (V.parse_vector("text", 64) == a).alias("text_same"), (V.receive_vector("bytes") == a).alias("binary_same"), (F.col("back") == F.col("s")).alias("sparse_same")
-    )
+    rows = _rows(spark, sf_dir).withColumn("text", V.format_vector(a)).withColumn("bytes", V.send_vector(a))
+    rows = once(rows.withColumn("binary", V.receive_vector("bytes")), s=sparse.from_dense(a))
+    rows = once(rows, sparse_text=sparse.format_sparse(F.col("s")), parsed=V.parse_vector("text", 64))
+    rows = once(once(rows, back=sparse.parse_sparse(F.col("sparse_text"))), dense=sparse.to_dense(F.col("back")))
+    return rows.select("vec_id", _total(F.col("parsed"), "text_sum"), _total(F.col("binary"), "binary_sum"), _total(F.col("dense"), "sparse_sum"))
 
 
 def _cells(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
@@ -153,14 +153,6 @@ def bit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest rounding error of each vector in half precision, and the order-dependent half sum by label."""
-    rows = _rows(spark, sf_dir).withColumn("half", V.to_half("embedding"))
-    worst = F.array_max(F.zip_with("embedding", "half", lambda x, y: F.abs(x - y)))
-    sums = rows.groupBy("label").agg(aggregates.half_sum("half").alias("s")).select("label", F.size("s").alias("sum_dims"))
-    return rows.select("vec_id", "label", (worst <= 0.01).alias("close")).join(sums, "label")
-
-
 def rerank_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     return _out(ivf.quantized_rerank(rows, _queries(rows), K, 50, "cosine"))
@@ -238,7 +230,7 @@ QUERIES = {
     "knn_l2": _knn("l2"), "knn_ip": _knn("ip"), "knn_cosine": _knn("cosine"), "knn_l1": _knn("l1"), "knn_hamming": _knn_bits("hamming"), "knn_jaccard": _knn_bits("jaccard"),
     "knn_to_row": knn_to_row, "knn_filtered": knn_filtered, "range_l2": range_l2, "vec_distances": distances, "vec_functions": vector_functions, "vec_order": vector_order,
     "vec_round_trips": vector_round_trips, "vec_avg": vec_avg, "vec_sum": vec_sum, "vec_avg_group": vec_avg_group, "sparse_distances": sparse_distances, "bit_distances": bit_distances,
-    "half_precision": half_precision, "rerank_binary": rerank_binary, "rerank_subvector": rerank_subvector, "ivf_all_probes": ivf_all_probes, "ivf_probe": ivf_probe,
+    "rerank_binary": rerank_binary, "rerank_subvector": rerank_subvector, "ivf_all_probes": ivf_all_probes, "ivf_probe": ivf_probe,
     "ivf_iterative": ivf_iterative, "ivf_maintenance": ivf_maintenance, "ivf_quality": ivf_quality, "hnsw_search": hnsw_search, "index_recall": index_recall, "sql_functions": sql_functions,
 }
 
@@ -301,10 +293,10 @@ ORACLE = {
     "vec_functions": f"WITH {ROWS} SELECT vec_id, CAST(len(v) AS INTEGER) AS dims, round(sqrt({SQUARES('v')}), 4) AS norm, {_sum_sql(_each(f'{_A} + {_B}'), 'added')},"
     f" {_sum_sql(_each(f'{_A} - {_B}', hi='20'), 'subtracted')}, {_sum_sql(_each(f'{_A} * {_B}'), 'multiplied')}, CAST(2 * len(v) AS INTEGER) AS concat_dims,"
     " array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS quantized,"
-    f" {_sum_sql('v[5:11]', 'sub_middle')}, {_sum_sql('v[1:2]', 'sub_left')}, {_sum_sql('v[60:64]', 'sub_right')}, 1.0::DOUBLE AS unit_norm FROM r",
+    f" {_sum_sql('v[5:11]', 'sub_middle')}, {_sum_sql('v[1:2]', 'sub_left')}, {_sum_sql('v[60:64]', 'sub_right')}, round(sqrt({SQUARES('v')}) / sqrt({SQUARES('v')}), 4) AS unit_norm FROM r",
     "vec_order": f"WITH {ROWS}, e AS (SELECT vec_id, CASE WHEN label % 2 = 0 THEN v ELSE v[1:32] END AS v FROM r)"
     " SELECT a.vec_id, CAST(CASE WHEN a.v < b.v THEN -1 WHEN a.v > b.v THEN 1 ELSE 0 END AS INTEGER) AS cmp, a.v <= b.v AS le, a.v = a.v AS eq FROM e a JOIN e b ON b.vec_id = a.vec_id + 1",
-    "vec_round_trips": "SELECT vec_id, TRUE AS text_same, TRUE AS binary_same, TRUE AS sparse_same FROM embeddings",
+    "vec_round_trips": f"WITH {ROWS} SELECT vec_id, {_sum_sql('v', 'text_sum')}, {_sum_sql('v', 'binary_sum')}, {_sum_sql('v', 'sparse_sum')} FROM r",
     "vec_avg": f"{_ARRAYS} SELECT CAST(pos AS INTEGER) AS pos, round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS x FROM p GROUP BY pos",
     "vec_sum": f"{_ARRAYS} SELECT label, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(sum(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS x FROM p GROUP BY label, pos",
     "vec_avg_group": f"{_ARRAYS} SELECT label, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(avg(CAST(x AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS x FROM p GROUP BY label, pos",

@@ -30,10 +30,13 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, from spark.checkpoint.dir.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder of its own; on a
+    cluster a machine's own folder would not be shared, so the setting is required there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="corvine-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -231,20 +231,34 @@ def render_document(url, title, product, version, breadcrumbs, last_modified, co
 
 
 def write_markdown(docs: DataFrame, folder: str) -> DataFrame:
-    """path and bytes of the files written below folder, one per document(url, title, product, version, body ...)."""
+    """path and bytes of the files written below folder, one per document(url, title, product, version, body ...).
+
+    folder is a URI of a filesystem that all machines share (hdfs, s3, gs, file of a mounted share); a plain
+    path is taken only by a local session.  A file is written whole or not at all: to a name of its own,
+    then moved, so that a task that runs again replaces it.
+    """
+    if "://" not in folder:
+        if not docs.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("folder must be a URI of a shared filesystem")
+        folder = "file://" + folder
     keyed = docs.withColumn("path", output_path(F.col("url"), F.col("product"), F.coalesce("version", F.lit(""))))
 
     def run(batches):
-        import os
+        import uuid
 
+        from pyarrow import fs
+
+        share, base = fs.FileSystem.from_uri(folder)
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
                 text = render_document(r["url"], r.get("title"), r["product"], r.get("version"), r.get("breadcrumbs"), r.get("last_modified"), r.get("content_hash"), r.get("fetched_at"), r["body"])
-                full = os.path.join(folder, r["path"])
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "w", encoding="utf-8") as f:
-                    f.write(text)
+                full = f"{base.rstrip('/')}/{r['path']}"
+                share.create_dir(full.rpartition("/")[0], recursive=True)
+                part = f"{full}.{uuid.uuid4().hex}"
+                with share.open_output_stream(part) as f:
+                    f.write(text.encode())
+                share.move(part, full)
                 rows.append((r["path"], len(text.encode())))
             yield pd.DataFrame(rows, columns=["path", "bytes"])
 

@@ -34,10 +34,17 @@ def start_ingest(files: DataFrame, target: str, checkpoint: str):
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_sections(spark: SparkSession, target: str) -> DataFrame:
+    """Sections as of the last batch of each url: a file that changed replaces what it held before."""
+    rows = spark.read.parquet(target)
+    last = rows.groupBy("url").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["url", "batch"], "left_semi").drop("batch")
+
+
 def start_index_inserts(rows: DataFrame, index: ivf.IvfIndex, path: str, checkpoint: str):
-    """A query that assigns arriving vectors to their lists and appends them to the index at path."""
+    """A query that assigns arriving vectors to their lists below path, by batch, so that a replayed batch replaces itself."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        ivf.insert(index, batch, path)
+    def write(batch: DataFrame, number: int) -> None:
+        ivf.insert(index, batch, f"{path}/batch={number}", mode="overwrite")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -59,7 +59,7 @@ def test_stems():
 def test_chunks():
     body = "# Title\n\nintro\n\n## A\n```\n## no\n```\n### B  \n\n## C\ntext\n#### deep"
     assert chunking.split_chunks(body) == [("", 0, "intro"), ("A", 2, "```\n## no\n```"), ("C", 2, "text\n#### deep")]
-    assert chunking.split_chunks("") == []
+    assert chunking.split_chunks("") == [] and chunking.split_chunks("a\n# T\nb\n# U") == [("", 0, "a\nb")]
 
 
 def test_diff():
@@ -165,3 +165,6 @@ def test_streaming_ingest(spark, tmp_path):
         q.awaitTermination(60)
     rows = spark.read.parquet(str(out)).collect()
     assert sorted(r["anchor"] for r in rows) == ["overview", "s"] and {r["url"] for r in rows} == {"https://h/a"}
+    (src / "b.md").write_text("---\nurl: https://h/a\n---\nintro\n\n## T\nother text\n")
+    ingest.start_ingest(ingest.markdown_stream(spark, str(src)), str(out), str(tmp_path / "ck")).awaitTermination(60)
+    assert sorted(r["anchor"] for r in ingest.current_sections(spark, str(out)).collect()) == ["overview", "t"]

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ("knn_cosine", "range_l2", "latest_patch", "section_ids", "incremental_outcomes", "docsets_nested", "document_aliases", "lexemes_simple", "p7_found")
+NAMES = ("knn_cosine", "range_l2", "latest_patch", "section_ids", "incremental_outcomes", "docsets_nested", "document_aliases", "lexemes_simple", "p7_found", "p7_replay", "p5_iso_epoch", "chunk_documents", "half_arithmetic", "half_aggregates", "sparse_overloads", "knn_with_ties", "vec_round_trips")
 
 
 def test_registry():
