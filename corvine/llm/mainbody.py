@@ -262,7 +262,7 @@ def repeated_texts(lines: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     by_host = lines.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     total = by_host.agg(F.sum("pages").alias("all_pages"))
     counts = lines.select("host", "page", F.explode("key").alias("k")).filter("k <> 0").distinct().groupBy("host", "k").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts.filter("n > 1"), "texts")
+    counts = materialize(counts, "texts")  # a text may stand on one page of each of many sites
     often = lambda n, of: (n >= min_pages) & (n >= min_share * of)
     everywhere = counts.groupBy("k").agg(F.sum("n").alias("n")).join(F.broadcast(total), F.lit(True))  # one row
     site = counts.join(bounded_broadcast(by_host, 100_000), "host")

@@ -134,6 +134,16 @@ def test_repeated_texts_count_pages_once(spark):
     assert bodies[101] == ["The body of page AAA is told in a sentence of its own."] and len(bodies[0]) == 1
 
 
+def test_texts_on_one_page_of_each_of_many_sites(spark):
+    """A sentence that stands once on every site is repeated over all pages, though on no site."""
+    rows = [(h, f"https://h{h}/a", f"<h1>Page {h}</h1><p>The body of site {chr(97 + h) * 3} is told in a sentence of its own.</p><p>One sentence for all the sites there are.</p>") for h in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, content_html string").withColumns({"title": F.lit("t"), "breadcrumbs": F.array(F.lit("x"))})
+    lines = mainbody.parsed(df).select(F.regexp_extract("url", "//(h.)", 1).alias("host"), F.xxhash64("url").alias("page"), "key")
+    assert [(r["host"], r["k"]) for r in mainbody.repeated_texts(lines).collect()] == [(None, mainbody.text_key("One sentence for all the sites there are."))]
+    bodies = {r["page_id"]: r["body_text"].split("\n")[1:] for r in mainbody.main_content(df).collect()}
+    assert bodies == {h: [f"The body of site {chr(97 + h) * 3} is told in a sentence of its own."] for h in range(8)}
+
+
 def test_main_body_tables(spark):
     rows = [(1, "u", "t", ["x"], PAGE, 1), (1, "u", "t", ["x"], PAGE, 1), (2, None, None, None, None, 1), (3, "u", "t", [], "", 1), (4, "u", "t", ["x"], "<p>" + LONG, 1), (5, "u", "t", None, "<<<div <p", 1)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, title string, breadcrumbs array<string>, content_html string, body_nodes int")
