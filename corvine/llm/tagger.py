@@ -33,9 +33,8 @@ def encode(windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(classes, lengths) of the windows, padded on the right."""
     length = np.array([len(w) for w in windows])
     out = np.zeros((len(windows), max(1, int(length.max(initial=1)))), np.int16)
-    for k, w in enumerate(windows):
-        code = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[k, : len(w)] = CLASSES[np.minimum(code, 0xFFFF)]
+    code = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(out.shape[1]) < length[:, None]] = CLASSES[np.minimum(code, 0xFFFF)]
     return out, length
 
 
@@ -106,7 +105,7 @@ def viterbi(p: dict, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     for t in range(1, L):
         all_ = score[:, :, None] + p["T"][None]
         back[t] = all_.argmax(axis=1)
-        nxt = np.take_along_axis(all_, back[t][:, None, :].astype(np.int64), axis=1)[:, 0] + e[:, t]
+        nxt = all_.max(axis=1) + e[:, t]
         live = (t < lengths)[:, None]
         score = np.where(live, nxt, score)
     last = score.argmax(axis=1)
@@ -123,14 +122,18 @@ def viterbi(p: dict, e: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
 
 
 class Decoder:
-    """The parameters laid out for decoding: features by rows, so that a step works on whole blocks of windows."""
+    """The parameters laid out for decoding: one block (windows, hidden) a gate, so that a step works on contiguous blocks.
+
+    Every gate is 1 / (1 + exp(-x)), with tanh(x) = 2 / (1 + exp(-2x)) - 1; the state is kept as -2c and h / 2.
+    """
 
     def __init__(self, p: dict[str, np.ndarray]):
         hidden = p["U"].shape[1]
-        half = np.where(np.arange(4 * hidden) < 3 * hidden, 0.5, 1.0).astype(np.float32)[:, None]  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-        self.P = [np.ascontiguousarray(x.T * half) for x in p["P"]]
-        self.U = [np.ascontiguousarray(x.T * half) for x in p["U"]]
-        self.W = [np.ascontiguousarray(x.T) for x in (p["W"][:hidden], p["W"][hidden:])]
+        sign = np.repeat(np.array([-1, -1, -1, -2], np.float32), hidden)
+        gates = lambda x: np.ascontiguousarray((x * sign).reshape(len(x), 4, hidden).transpose(1, 0, 2))
+        self.P = [gates(x) for x in p["P"]]
+        self.U = [gates(2 * x) for x in p["U"]]
+        self.W = [np.ascontiguousarray(2 * x.T) for x in (p["W"][:hidden], p["W"][hidden:])]
         self.b, self.T, self.S, self.hidden = p["b"], p["T"], p["S"], hidden
 
     def direction(self, d: int, x: np.ndarray, lengths: np.ndarray, e: np.ndarray) -> None:
@@ -140,43 +143,54 @@ class Decoder:
         """
         L, n = x.shape
         k = self.hidden
-        h, c = np.zeros((k, n), np.float32), np.zeros((k, n), np.float32)
-        g, q, top = (np.empty((r * k, n), np.float32) for r in (4, 4, 1))
+        h, c, top = (np.zeros((n, k), np.float32) for _ in range(3))
+        g, q = (np.empty((4, n, k), np.float32) for _ in range(2))
+        i, f, o, z = g
+        scale = np.array([-4, 1, 1, 1], np.float32)[:, None, None]
+        x = x.astype(np.intp)
         out = np.empty((len(TAGS), n), np.float32)
-        gates = g[: 3 * k]
         ended = np.searchsorted(lengths, np.arange(L), side="right")
-        for t in range(L) if d == 0 else range(L - 1, -1, -1):
-            np.matmul(self.U[d], h, out=g)
-            np.take(self.P[d], x[t], axis=1, out=q, mode="clip")
-            g += q
-            np.tanh(g, out=g)
-            gates += 1
-            gates *= 0.5
-            c *= g[k : 2 * k]
-            np.multiply(g[:k], g[3 * k :], out=top)
-            c += top
-            np.tanh(c, out=top)
-            np.multiply(g[2 * k : 3 * k], top, out=h)
-            if d and ended[t]:
-                h[:, : ended[t]] = 0
-                c[:, : ended[t]] = 0
-            e[t] += np.matmul(self.W[d], h, out=out)
-
-    def gain(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """What the best path of each window scores above the path of O alone."""
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+            for t in range(L) if d == 0 else range(L - 1, -1, -1):
+                np.matmul(h, self.U[d], out=g)
+                np.take(self.P[d], x[t], axis=1, out=q, mode="clip")
+                g += q
+                np.exp(g, out=g)
+                g += 1
+                np.divide(scale, g, out=g)
+                z -= 0.5
+                z *= i
+                c *= f
+                c += z
+                np.exp(c, out=top)
+                top += 1
+                np.reciprocal(top, out=top)
+                top -= 0.5
+                np.multiply(o, top, out=h)
+                if d and ended[t]:
+                    h[: ended[t]] = 0
+                    c[: ended[t]] = 0
+                e[t] += np.matmul(self.W[d], h.T, out=out)
+
+    def scores(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best score of a path up to each character by its tag, and what the best path of each window scores above the path of O alone."""
         L, k, n = e.shape
         T = self.T[:, :, None]
-        score, only = self.S[:, None] + e[0], self.S[0] + e[0, 0]
-        out = np.empty(n, np.float32)
+        score = np.empty_like(e)
+        score[0], only = self.S[:, None] + e[0], self.S[0] + e[0, 0]
+        above = np.empty(n, np.float32)
+        every = np.empty((k, k, n), np.float32)
         ended = np.searchsorted(lengths, np.arange(L + 1), side="right")
         for t in range(1, L + 1):
             done = slice(ended[t - 1], ended[t])
             if done.start < done.stop:
-                out[done] = score[:, done].max(axis=0) - only[done]
+                above[done] = score[t - 1, :, done].max(axis=0) - only[done]
             if t < L:
-                score = (score[:, None, :] + T).max(axis=0) + e[t]
+                np.add(score[t - 1][:, None, :], T, out=every)
+                every.max(axis=0, out=score[t])
+                score[t] += e[t]
                 only = only + (self.T[0, 0] + e[t, 0])
-        return out
+        return score, above
 
     def tags(self, windows: list[str]) -> list[np.ndarray]:
         """Best tag sequence of each window, none of them empty, sorted by length; only paths that beat O alone are traced back."""
@@ -187,15 +201,23 @@ class Decoder:
         self.direction(0, x, lengths, e)
         self.direction(1, x, lengths, e)
         out = [np.zeros(n, np.int8) for n in lengths]
-        some = np.flatnonzero(self.gain(e, lengths) > 0)
+        score, above = self.scores(e, lengths)
+        some = np.flatnonzero(above > 0)
         if len(some):
-            e = np.ascontiguousarray(e[:, :, some].transpose(2, 0, 1))
-            for k, path in zip(some, viterbi({"S": self.S, "T": self.T}, e, lengths[some])):
-                out[k] = path
+            score, last, to = score[:, :, some], lengths[some] - 1, np.ascontiguousarray(self.T.T)
+            path = np.zeros((len(x), len(some)), np.int8)
+            tag = np.zeros(len(some), np.int64)
+            for t in range(len(x) - 1, -1, -1):
+                # the tag after t decides; at a window's last character there is none
+                reached = score[t].T + np.where((t < last)[:, None], to[tag], 0)
+                tag = reached.argmax(axis=1)
+                path[t] = tag
+            for r, k in enumerate(some):
+                out[k] = path[: lengths[k], r].copy()
         return out
 
 
-def tag_windows(p: dict[str, np.ndarray] | Decoder, windows: list[str], batch: int = 512) -> list[np.ndarray]:
+def tag_windows(p: dict[str, np.ndarray] | Decoder, windows: list[str], batch: int = 1024) -> list[np.ndarray]:
     """Tags of each window; windows of like length are decoded together."""
     decoder = p if isinstance(p, Decoder) else Decoder(p)
     order = sorted((k for k, w in enumerate(windows) if w), key=lambda k: len(windows[k]))

@@ -396,6 +396,21 @@ def test_training_learns():
     assert tagger.loss_and_gradients(p, x, n, gold)[0] < 0.5 * tagger.loss_and_gradients(tagger.fresh(5), x, n, gold)[0]
 
 
+def test_decoder_equals_the_plain_network():
+    """Emissions and paths of the laid out parameters are those of the plain LSTM and of Viterbi over all windows."""
+    from corvine.llm.tagger_data import Maker
+
+    p, windows = pii.weights(), sorted([Maker(77).window()[0] for _ in range(40)] + ["x", "Ask Zelda Q. Brandmere, zelda@post.example", "\ud800 \U0001f600 é"], key=len)
+    e, lengths = tagger.emissions(p, windows)
+    x, _ = tagger.encode(windows)
+    d = tagger.Decoder(p)
+    got = np.zeros((x.shape[1], len(tagger.TAGS), len(windows)), np.float32) + d.b[:, None]
+    for k in range(2):
+        d.direction(k, np.ascontiguousarray(x.T), lengths, got)
+    assert all(np.allclose(got[:n, :, r], e[r, :n], atol=1e-3) for r, n in enumerate(lengths))
+    assert all((a == b).all() for a, b in zip(d.tags(windows), tagger.viterbi(p, e, lengths)))
+
+
 def test_held_out_accuracy():
     from corvine.llm.tagger_data import Maker
 
