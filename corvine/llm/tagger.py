@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from corvine.llm import steps
+
 KINDS = ("name", "email", "phone", "idnum", "address")
 TAGS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 PAD = 0
@@ -125,10 +127,12 @@ class Decoder:
     """The parameters laid out for decoding: one block (windows, hidden) a gate, so that a step works on contiguous blocks.
 
     Every gate is 1 / (1 + exp(-x)), with tanh(x) = 2 / (1 + exp(-2x)) - 1; the state is kept as -2c and h / 2.
+    With onnxruntime the same step runs there, fused; ``plain`` keeps to numpy.
     """
 
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: dict[str, np.ndarray], plain: bool = False):
         hidden = p["U"].shape[1]
+        self.steps = [None if plain else steps.step(P, U, W) for P, U, W in zip(p["P"], p["U"], (p["W"][:hidden], p["W"][hidden:]))]
         sign = np.repeat(np.array([-1, -1, -1, -2], np.float32), hidden)
         gates = lambda x: np.ascontiguousarray((x * sign).reshape(len(x), 4, hidden).transpose(1, 0, 2))
         self.P = [gates(x) for x in p["P"]]
@@ -141,6 +145,8 @@ class Decoder:
 
         The backward direction starts each window's state at its own end: what lies beyond is set to 0.
         """
+        if self.steps[d]:
+            return self.stepped(d, x, lengths, e)
         L, n = x.shape
         k = self.hidden
         h, c, top = (np.zeros((n, k), np.float32) for _ in range(3))
@@ -172,6 +178,20 @@ class Decoder:
                     c[: ended[t]] = 0
                 e[t] += np.matmul(self.W[d], h.T, out=out)
 
+    def stepped(self, d: int, x: np.ndarray, lengths: np.ndarray, e: np.ndarray) -> None:
+        """The same by onnxruntime; each step reads only the windows that have a character there, the last ones."""
+        L, n = x.shape
+        x = x.astype(np.int64)
+        h = c = np.zeros((n if d == 0 else 0, self.hidden), np.float32)
+        ended = np.searchsorted(lengths, np.arange(L), side="right")
+        for t in range(L) if d == 0 else range(L - 1, -1, -1):
+            live = n - ended[t]
+            if live > len(h):
+                begun = np.zeros((live - len(h), self.hidden), np.float32)
+                h, c = np.concatenate([begun, h]), np.concatenate([begun, c])
+            h, c, out = self.steps[d](x[t, ended[t] :], h[len(h) - live :], c[len(c) - live :])
+            e[t, :, ended[t] :] += out
+
     def scores(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best score of a path up to each character by its tag, and what the best path of each window scores above the path of O alone."""
         L, k, n = e.shape

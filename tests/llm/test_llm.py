@@ -411,6 +411,25 @@ def test_decoder_equals_the_plain_network():
     assert all((a == b).all() for a, b in zip(d.tags(windows), tagger.viterbi(p, e, lengths)))
 
 
+def test_fused_step_equals_numpy():
+    """The step in onnxruntime gives what numpy gives, and reads each character of a window once a direction, no padding."""
+    from corvine.llm.tagger_data import Maker
+
+    pytest.importorskip("onnxruntime")
+    p, windows = pii.weights(), sorted([Maker(78).window()[0] for _ in range(60)] + ["x", "\ud800 \U0001f600 é", "1" * 160], key=len)
+    x, lengths = tagger.encode(windows)
+    fused, plain = tagger.Decoder(p), tagger.Decoder(p, plain=True)
+    read: list[int] = []
+    fused.steps = [lambda x, h, c, f=f: (read.append(len(x)), f(x, h, c))[1] for f in fused.steps]
+    a, b = (np.zeros((x.shape[1], len(tagger.TAGS), len(windows)), np.float32) for _ in range(2))
+    for k in range(2):
+        fused.direction(k, np.ascontiguousarray(x.T), lengths, a)
+        plain.direction(k, np.ascontiguousarray(x.T), lengths, b)
+    assert sum(read) == 2 * lengths.sum()
+    assert all(np.allclose(a[:n, :, r], b[:n, :, r], atol=1e-3) for r, n in enumerate(lengths))
+    assert all((s == t).all() for s, t in zip(fused.tags(windows), plain.tags(windows)))
+
+
 def test_held_out_accuracy():
     from corvine.llm.tagger_data import Maker
 
