@@ -82,6 +82,11 @@ def weights(path: str | None = None) -> dict[str, np.ndarray]:
         return {k: v.astype(np.float32) for k, v in np.load(f).items()}
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str | None = None) -> Decoder:
+    return Decoder(weights(path))
+
+
 def cut(line: str) -> list[tuple[int, int]]:
     """Overlapping windows over a line."""
     n = len(line)
@@ -206,26 +211,28 @@ class Finder:
     """Finds pieces in many texts at once; equal lines are tagged once, up to ``cache`` of them kept."""
 
     def __init__(self, path: str | None = None, cache: int = 200_000, forms: dict[str, re.Pattern] = FORMS):
-        self.decoder, self.known, self.limit, self.forms = Decoder(weights(path)), {}, cache, forms
+        self.decoder, self.known, self.limit, self.forms = decoder(path), {}, cache, forms
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         lines = [t.split("\n") if t else [] for t in texts]
         fresh = list(dict.fromkeys(x for ls in lines for x in ls if x not in self.known and not x.isspace()))
         parts = [(x, w) for x in fresh if x for w in cut(x)]
-        by: dict[str, tuple[list, list]] = {}
-        for (x, w), t in zip(parts, tag_windows(self.decoder, [x[a:b] for x, (a, b) in parts])):
-            ws, ts = by.setdefault(x, ([], []))
-            ws.append(w)
-            ts.append(t)
+        tags = tag_windows(self.decoder, [x[a:b] for x, (a, b) in parts])
+        by: dict[str, tuple[list, list]] = {x: ([], []) for (x, _), t in zip(parts, tags) if t.any()}
+        for (x, w), t in zip(parts, tags):
+            if x in by:
+                by[x][0].append(w)
+                by[x][1].append(t)
         new = {}
         for x, (ws, ts) in by.items():
-            if any(t.any() for t in ts) and (found := checked(x, decoded_spans(reconcile(len(x), ws, ts)), self.forms)):
+            if found := checked(x, decoded_spans(reconcile(len(x), ws, ts)), self.forms):
                 new[x] = found
         out: list[list[tuple[int, int, str]]] = []
         for ls in lines:
             at, own = 0, []
             for x in ls:
-                own += [(at + a, at + b, kind) for a, b, kind in new.get(x) or self.known.get(x) or ()]
+                if found := new.get(x) or self.known.get(x):
+                    own += [(at + a, at + b, kind) for a, b, kind in found]
                 at += len(x) + 1
             out.append(own)
         if len(self.known) + len(fresh) > self.limit:
@@ -235,8 +242,8 @@ class Finder:
         return out
 
 
-@lru_cache(maxsize=2)
 def finder(path: str | None = None) -> Finder:
+    """A finder that knows no lines yet: one a task, so that no run profits from what a worker read in another."""
     return Finder(path)
 
 

@@ -65,5 +65,6 @@ def step(P: np.ndarray, U: np.ndarray, W: np.ndarray):
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = options.inter_op_num_threads = 1
     options.log_severity_level = 3
+    options.enable_mem_pattern = False  # the number of rows changes from step to step
     run = onnxruntime.InferenceSession(model(P, U, W), options, providers=["CPUExecutionProvider"]).run
     return lambda x, h, c: run(None, {"x": x, "h": h, "c": c})

@@ -12,6 +12,8 @@ PAD = 0
 _PRINTABLE = "".join(chr(c) for c in range(32, 127))
 VOCABULARY = 1 + len(_PRINTABLE) + 8
 HIDDEN = 32
+# What rounding may add to the score of a path, and more.
+SLACK = 0.01
 
 
 def _table() -> np.ndarray:
@@ -139,6 +141,11 @@ class Decoder:
         self.U = [gates(2 * x) for x in p["U"]]
         self.W = [np.ascontiguousarray(2 * x.T) for x in (p["W"][:hidden], p["W"][hidden:])]
         self.b, self.T, self.S, self.hidden = p["b"], p["T"], p["S"], hidden
+        groups = [slice(0, 1), slice(1, None, 2), slice(2, None, 2)]  # O, all B, all I
+        self.into = np.array([[self.T[a, b].max() for a in groups] for b in groups], np.float32) - self.T[0, 0]
+        self.first = np.array([self.S[b].max() for b in groups], np.float32) - self.S[0]
+        self.into[1:, 0] += SLACK
+        self.first[1:] += SLACK
 
     def direction(self, d: int, x: np.ndarray, lengths: np.ndarray, e: np.ndarray) -> None:
         """Adds one direction's emissions for classes x (L, n) to e (L, tags, n); windows are sorted by length.
@@ -192,6 +199,29 @@ class Decoder:
             h, c, out = self.steps[d](x[t, ended[t] :], h[len(h) - live :], c[len(c) - live :])
             e[t, :, ended[t] :] += out
 
+    def contested(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Windows in which some path may beat that of O alone: an upper bound in which all kinds share the best emission and transition.
+
+        In the others no path can, whatever its kinds, so the full search is left to these.
+        """
+        L, _, n = e.shape
+        above = np.stack([e[:, b::2].max(axis=1) for b in (1, 2)], axis=1) - e[:, :1]
+        score = np.repeat(self.first[:, None], n, axis=1)
+        score[1:] += above[0]
+        out = np.empty(n, bool)
+        every, into = np.empty((3, 3, n), np.float32), self.into[:, :, None]
+        ended = np.searchsorted(lengths, np.arange(L + 1), side="right")
+        for t in range(1, L + 1):
+            done = slice(ended[t - 1], ended[t])
+            if done.start < done.stop:
+                out[done] = score[:, done].max(axis=0) > 0
+            if t < L:
+                np.add(into, score, out=every)
+                np.maximum(every[:, 0], every[:, 1], out=score)
+                np.maximum(score, every[:, 2], out=score)
+                score[1:] += above[t]
+        return np.flatnonzero(out)
+
     def scores(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best score of a path up to each character by its tag, and what the best path of each window scores above the path of O alone."""
         L, k, n = e.shape
@@ -221,10 +251,12 @@ class Decoder:
         self.direction(0, x, lengths, e)
         self.direction(1, x, lengths, e)
         out = [np.zeros(n, np.int8) for n in lengths]
-        score, above = self.scores(e, lengths)
-        some = np.flatnonzero(above > 0)
+        some = self.contested(e, lengths)
+        if len(some):
+            score, above = self.scores(e[:, :, some], lengths[some])
+            some, score = some[above > 0], score[:, :, above > 0]
         if len(some):
-            score, last, to = score[:, :, some], lengths[some] - 1, np.ascontiguousarray(self.T.T)
+            last, to = lengths[some] - 1, np.ascontiguousarray(self.T.T)
             path = np.zeros((len(x), len(some)), np.int8)
             tag = np.zeros(len(some), np.int64)
             for t in range(len(x) - 1, -1, -1):
@@ -237,9 +269,10 @@ class Decoder:
         return out
 
 
-def tag_windows(p: dict[str, np.ndarray] | Decoder, windows: list[str], batch: int = 1024) -> list[np.ndarray]:
-    """Tags of each window; windows of like length are decoded together."""
+def tag_windows(p: dict[str, np.ndarray] | Decoder, windows: list[str], batch: int | None = None) -> list[np.ndarray]:
+    """Tags of each window; windows of like length are decoded together, ``batch`` at a time."""
     decoder = p if isinstance(p, Decoder) else Decoder(p)
+    batch = batch or (2048 if all(decoder.steps) else 1024)
     order = sorted((k for k, w in enumerate(windows) if w), key=lambda k: len(windows[k]))
     out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(windows)
     for at in range(0, len(order), batch):

@@ -430,6 +430,23 @@ def test_fused_step_equals_numpy():
     assert all((s == t).all() for s, t in zip(fused.tags(windows), plain.tags(windows)))
 
 
+def test_paths_are_searched_where_one_may_win():
+    """The bound leaves open every window in which a path beats O alone, and settles most of the others."""
+    d, lengths = tagger.Decoder(pii.weights()), np.sort(np.random.default_rng(4).integers(1, 40, 3000))
+    settled = 0
+    for scale in (0.5, 2, 6):
+        e = np.random.default_rng(5).normal(size=(40, len(tagger.TAGS), 3000)).astype(np.float32) * scale
+        e[:, 0] += 2 * scale
+        left, (_, above) = d.contested(e, lengths), d.scores(e, lengths)
+        assert set(np.flatnonzero(above > 1e-3)) <= set(left)
+        settled += 3000 - len(left)
+    assert settled > 1000
+    text = ["Ask Zelda Q. Brandmere, zelda@post.example", *(f"the table is read again after {k} rows of the same kind." for k in range(20))]
+    searched, scores = [], d.scores
+    d.scores = lambda e, lengths: (searched.append(len(lengths)), scores(e, lengths))[1]
+    assert [t.any() for t in tagger.tag_windows(d, text)] == [True] + [False] * 20 and sum(searched) < 10
+
+
 def test_held_out_accuracy():
     from corvine.llm.tagger_data import Maker
 
@@ -527,6 +544,12 @@ def test_long_lines_are_cut_and_reconciled():
     assert (pii.reconcile(500, w, [np.full(b - a, 1, np.int8) for a, b in w]) == 1).all()
 
 
+def test_no_lines_are_remembered_between_tasks():
+    first = pii.finder()
+    first.find(["Ask Zelda Q. Brandmere, zelda@post.example"])
+    assert first.known and not pii.finder().known
+
+
 def test_pii_tables(spark):
     df = spark.createDataFrame([(1, None, "e"), (2, "", "e"), (3, "Write to a.b@c.example", "e"), (3, "Write to a.b@c.example", "e"), (4, LONG, "e")], "doc_id bigint, text string, kind string")
     assert sorted((r["doc_id"], r["kind"], r["start_pos"]) for r in pii.find_pieces(df).collect()) == [(3, "email", 9)] * 2
